@@ -102,7 +102,7 @@ rules(v, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/e
 u AS (SELECT page_id, host, path, (SELECT max_by(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule FROM u2),
 v AS (SELECT u.*, rules.v AS verdict, string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/') AS parts FROM u LEFT JOIN rules ON rule = h || p),
 s AS (SELECT *, parts[2] AS s0, parts[3] AS s1, CASE WHEN len(parts) >= 4 THEN parts[4] END AS s2, len(parts) > 4 AS more FROM v),
-t0 AS (SELECT host, s0, s1, s2, more, count(verdict) AS n, count_if(verdict = 'block') AS b, host AS template FROM s GROUP BY ALL),"""
+t0 AS (SELECT host, s0, s1, s2, more, count(verdict) AS n, count(*) FILTER (verdict = 'block') AS b, host AS template FROM s GROUP BY ALL),"""
     + ",".join(_level(i) for i in range(3))
     + """,
 p AS (SELECT template, CAST(sum(n) AS BIGINT) AS n_labelled, (sum(b) + 2.0::DOUBLE) / (sum(n) + 4) AS purity FROM t3 GROUP BY 1)
