@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, sharding, urlfilter
+from . import langid, mixing, neardup, packing, pii, sharding, urlfilter
 
 
 def queries() -> dict:
-    found = [urlfilter.op4_path_templates, sharding.op6_virtual_slots, mixing.op9_mix, pii.op10_disclosure]
+    found = [langid.op2_mixture_langid, neardup.op3_order_minhash, urlfilter.op4_path_templates, sharding.op6_virtual_slots, packing.op7_length_buckets, mixing.op9_mix, pii.op10_disclosure]
     return {f.__name__: f for f in found}
 
 
