@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,35 +161,35 @@ def infer(tally: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def predict(docs: DataFrame, langs: list[str], like: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred, score, langs (names of the chosen set, most first) of each row's text."""
+def predict(docs: DataFrame, langs: list[str], like: np.ndarray, keep_text: bool = False) -> DataFrame:
+    """row (struct of the document, its text only if ``keep_text``), lang_pred, score, langs (names of the chosen set, most first)."""
     sent = docs.sparkSession.sparkContext.broadcast((langs, like))  # MAX_LANGS x 2^BITS numbers at most
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, probs = sent.value
-        for pdf in batches:
-            pred, score = np.full(len(pdf), "und", dtype=object), np.zeros(len(pdf))
-            chosen = np.full(len(pdf), "", dtype=object)
-            if names:
-                for rows, tally in _tallies(pdf["text"]):
-                    has = tally.any(axis=1)
-                    if not has.any():
-                        continue
-                    pi, size = infer(tally[has], probs)
-                    rows = np.asarray(rows)[has]
-                    top = pi.argmax(axis=1)
-                    score[rows] = np.minimum(pi[np.arange(len(rows)), top], 1.0)
-                    pred[rows] = np.array(names, dtype=object)[top]
-                    order = np.argsort(-pi, axis=1, kind="stable")
-                    chosen[rows] = [",".join(names[j] for j in o[:s]) for o, s in zip(order, size, strict=True)]
-            yield pdf.drop(columns="text").assign(lang_pred=pred, score=score, langs=chosen)
-
-    keep = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.mapInPandas(run, f"{schema}, lang_pred string, score double, langs string")
-
-
-def _tallies(texts: pd.Series) -> Iterator[tuple[list[int], np.ndarray]]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            pred, score, chosen = np.full(len(texts), "und", dtype=object), np.zeros(len(texts)), np.full(len(texts), "", dtype=object)
+            for rows, tally in _tallies(texts) if names else ():
+                has = tally.any(axis=1)
+                if not has.any():
+                    continue
+                pi, size = infer(tally[has], probs)
+                at = np.asarray(rows)[has]
+                top = pi.argmax(axis=1)
+                score[at] = np.minimum(pi[np.arange(len(at)), top], 1.0)
+                pred[at] = np.array(names, dtype=object)[top]
+                order = np.argsort(-pi, axis=1, kind="stable")
+                chosen[at] = [",".join(names[j] for j in o[:s]) for o, s in zip(order, size, strict=True)]
+            new = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(chosen, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *new], names=["row", "lang_pred", "score", "langs"])
+
+    # the document travels as one struct, so that its columns can have any names and types; Arrow passes it on untouched
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if keep_text or c != "text"]).alias("row"), F.col("text"))
+    return boxed.mapInArrow(run, f"row {boxed.schema['row'].dataType.simpleString()}, lang_pred string, score double, langs string")
+
+
+def _tallies(texts: list) -> Iterator[tuple[list[int], np.ndarray]]:
     """Row numbers and counts of texts, some hundred thousand letters at a time."""
     rows, held, size = [], [], 0
     for i, text in enumerate(texts):
@@ -217,4 +218,4 @@ def op2_mixture_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     langs, like = fit(docs.where(~held_out(F.col("doc_id"))))
     out = predict(docs.select("doc_id", "text"), langs, like)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "langs")
+    return out.select(F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "langs")

@@ -276,24 +276,25 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return root
 
 
-def assign(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """row (struct of the document), node, class_id (smallest doc_id of the class), class_size (rows), kept: exactly one row of each class."""
-    root = classes(docs, threshold)
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("node"))
-    narrow = named.select(F.col("row.doc_id").alias("doc_id"), "node").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
-    narrow = narrow.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node"))
-    by = narrow.groupBy("root").agg(best.alias("best"), F.sum("n").alias("class_size"))
-    # one row per different text again, so that the way back to the documents is one join on the node
-    member = narrow.select("node", "root").distinct().join(by, "root")
-    member = member.select("node", F.col("best.doc_id").alias("class_id"), (F.col("best.node") == F.col("node")).alias("best"), "class_size")
-    return named.join(member, "node")
+def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, node, root, class_id (smallest doc_id of the class) and class_size of each row; no text is shuffled for it."""
+    narrow = docs.select("doc_id", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("node"))
+    full = narrow.join(classes(docs, threshold), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by = full.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return full.join(by, "root")
+
+
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class, that of its smallest doc_id (ids that are null come last), with all its columns. Rows that
+    share id and text are told apart by nothing that matters; one of them stays."""
+    full = cut(labelled(docs.select("doc_id", "text"), threshold))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node")).alias("first")
+    keep = full.groupBy("root").agg(first).select(F.col("first.doc_id").alias("keep_id"), F.col("first.node").alias("keep_node"))
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("node"))
+    kept = boxed.join(keep, F.col("row.doc_id").eqNullSafe(F.col("keep_id")) & (F.col("node") == F.col("keep_node")), "left_semi")
+    twice = full.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return (kept.groupBy("row.doc_id", "node").agg(F.first("row").alias("row")) if twice else kept).select("row.*")
 
 
 def op3_order_minhash(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    root = classes(docs)
-    narrow = docs.select("doc_id", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("node"))
-    full = narrow.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by = full.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return full.join(by, "root").select("doc_id", "class_id", "class_size")
+    return labelled(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
