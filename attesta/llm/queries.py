@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, langid, mixing, neardup, packing, pii, sharding, topk, urlfilter
+from . import ann, langid, licenses, mixing, neardup, packing, pii, sharding, topk, urlfilter
 
 
 def queries() -> dict:
-    found = [ann.op1_collision_counting, langid.op2_mixture_langid, neardup.op3_order_minhash, urlfilter.op4_path_templates, topk.op5_norm_buckets, sharding.op6_virtual_slots, packing.op7_length_buckets, mixing.op9_mix, pii.op10_disclosure]
+    found = [ann.op1_collision_counting, langid.op2_mixture_langid, neardup.op3_order_minhash, urlfilter.op4_path_templates, topk.op5_norm_buckets, sharding.op6_virtual_slots, packing.op7_length_buckets, licenses.op8_license_scan, mixing.op9_mix, pii.op10_disclosure]
     return {f.__name__: f for f in found}
 
 
