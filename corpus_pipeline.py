@@ -1,11 +1,54 @@
-"""A corpus pipeline of five training-data operators: language ID, near-duplicates, personal data, mixing, packing."""
+"""A corpus pipeline of five training-data operators: language ID, near-duplicates, personal data, mixing, packing.
 
-STAGES = []
+Each stage works on all that the stage before it kept. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attesta.llm import langid, mixing, neardup, packing, pii
+from attesta.llm.common import cut
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language the model knows; those it can name no language for (``und``) go."""
+    langs, like = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs, langs, like, keep_text=True).where(F.col("lang_pred") != "und").select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: that of the smallest doc_id."""
+    return neardup.deduplicate(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and terms that disclose it replaced by the name of their kind."""
+    return pii.sanitise(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's place in the token-budget batches."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("personal_data", personal_data), ("mix_sources", mix_sources), ("packing", pack)]
+
+#: Mixture inference and alignment cannot be said in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each written to the shared folder as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
     return docs
