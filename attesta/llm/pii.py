@@ -2,11 +2,10 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by pattern over the whole text.
 The values of the base spans are the protected entities. For each entity e and each term t (word, folded to lower case)
-the corpus is asked in how many different texts t stands within ``WINDOW`` words of e, in how many texts t and e
+the corpus is asked in how many documents t stands within ``WINDOW`` words of e, in how many t and e
 occur at all, and how strongly t reveals e: PMI(e; t) over the information IC(e) of e, 1 if t occurs only where e does.
-A term seen with e in at least ``SUPPORT`` texts whose strength reaches ``STRENGTH`` discloses e; its occurrences beside e
+A term seen with e in at least ``SUPPORT`` different texts whose strength reaches ``STRENGTH`` discloses e; its occurrences beside e
 become spans of kind ``term`` (removed by ``sanitise`` as base spans are, generalised to the name of their kind).
-Copies of a text count once.
 
 Nulls: a null text is empty and has no spans. Repeated rows each get their spans. Empty tables give no rows.
 Patterns are written without backtracking over long runs, so very long texts cost time in proportion.
@@ -111,13 +110,13 @@ def _tokens(piece: Column, at: Column, last: bool) -> Column:
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """doc_id, key, entity, start, end, term: the words beside each base span. Words that touch a base span are not terms."""
-    at = found.select("row_key", "text", "base", F.explode("base").alias("s"))
-    at = at.select("row_key", "base", "s", _beside(F.col("text"), F.col("s")).alias("b"))
+    """row_key, copies, entity, start, end, term: the words beside each base span. Words that touch a base span are not terms."""
+    at = found.select("row_key", "copies", "text", "base", F.explode("base").alias("s"))
+    at = at.select("row_key", "copies", "base", "s", _beside(F.col("text"), F.col("s")).alias("b"))
     near = F.concat(_tokens(F.col("b.left"), F.col("b.left_at"), True), _tokens(F.col("b.right"), F.col("b.right_at"), False))
     free = F.filter(near, lambda t: ~F.exists("base", lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])))
-    word = at.select("row_key", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(free).alias("t"))
-    return word.select("row_key", "entity", "t.start", "t.end", "t.term")
+    word = at.select("row_key", "copies", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(free).alias("t"))
+    return word.select("row_key", "copies", "entity", "t.start", "t.end", "t.term")
 
 
 def detect(docs: DataFrame, support: int = SUPPORT, strength: float = STRENGTH) -> DataFrame:
@@ -126,18 +125,17 @@ def detect(docs: DataFrame, support: int = SUPPORT, strength: float = STRENGTH)
     plain = docs.select(text.alias("text"), F.unhex(F.md5(text)).alias("row_key"))
     hit = plain.where(_may_hold(F.col("text"))).withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
     # The texts with base spans, each once: a small part of the corpus, read three times below.
-    found = cut(hit.dropDuplicates(["row_key"]))
+    found = cut(hit.groupBy("row_key").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count(F.lit(1)).alias("copies")))
     near = cut(contexts(found))
-    pair = near.groupBy("entity", "term").agg(F.count_distinct("row_key").alias("both")).where(F.col("both") >= support)
-    terms = pair.select("term").distinct()
-    # In how many different texts a term occurs: counts over the whole corpus, of the candidate terms alone.
-    seen = plain.select("row_key", F.explode(F.array_distinct(F.split(F.lower("text"), BLANK))).alias("term"))
-    seen = term_rows(seen, terms).groupBy("term").agg(F.count_distinct("row_key").alias("n_term"))
-    entity = near.groupBy("entity").agg(F.count_distinct("row_key").alias("n_entity"))
-    total = plain.agg(F.approx_count_distinct("row_key").alias("n"))
-    told = pair.join(seen, "term").join(entity, "entity").crossJoin(F.broadcast(total))
-    pmi = F.log(F.col("both") * F.greatest(F.col("n"), "n_entity", "n_term") / (F.col("n_term") * F.col("n_entity")).cast("double"))
-    info = F.log(F.greatest(F.col("n"), "n_entity", "n_term") / F.col("n_entity").cast("double"))
+    pair = near.groupBy("entity", "term", "row_key").agg(F.first("copies").alias("copies")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both"))
+    pair = pair.where(F.col("texts") >= support)
+    # In how many documents a term occurs: counts over the whole corpus, of the candidate terms alone.
+    seen = plain.select(F.explode(F.array_distinct(F.split(F.lower("text"), BLANK))).alias("term"))
+    seen = term_rows(seen, pair.select("term").distinct()).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    entity = near.select("entity", "row_key", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    told = pair.join(seen, "term").join(entity, "entity").crossJoin(F.broadcast(plain.agg(F.count(F.lit(1)).alias("n"))))
+    pmi = F.log(F.col("both") * F.col("n") / (F.col("n_term") * F.col("n_entity")).cast("double"))
+    info = F.log(F.col("n") / F.col("n_entity").cast("double"))
     told = told.where((info > 0) & (pmi >= strength * info)).select("entity", "term")
     spans = near.join(told, ["entity", "term"]).groupBy("row_key").agg(F.collect_set(F.struct("start", F.lit(4).alias("k"), "end", F.lit("term").alias("kind"))).alias("terms"))
     base = F.transform("base", lambda s: F.struct(s["start"], s["k"], s["end"], s["kind"]))
