@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: (verdict, host, path); a rule's name is its host and path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -52,7 +52,8 @@ def segments(path: Column, depth: int = DEPTH) -> Column:
 def templates(urls: DataFrame, depth: int = DEPTH, smoothing: int = SMOOTHING, z2: float = Z2) -> DataFrame:
     """For rows (host, seg, verdict) the map of (host, seg) to its template, with the template's n_labelled, n_block and purity."""
     node = urls.groupBy("host", "seg").agg(F.count("verdict").alias("n"), F.count_if(F.col("verdict") == "block").alias("b"))
-    node = node.withColumn("template", F.col("host"))
+    # one row per host and shape of path: small beside the urls, and read once per level
+    node = cut(node.withColumn("template", F.col("host")))
     for i in range(depth):
         node = node.withColumn("part", F.coalesce(F.col(f"seg.s{i}"), F.lit("")))
         child = node.groupBy("template", "part").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
@@ -60,7 +61,7 @@ def templates(urls: DataFrame, depth: int = DEPTH, smoothing: int = SMOOTHING, z
         rate = (F.col("all_b") + smoothing * 0.5) / (F.col("all_n") + smoothing)
         off = F.col("b") - F.col("n") * rate
         child = child.join(every, "template").select("template", "part", ((F.col("n") > 0) & (off * off >= z2 * (F.col("n") * rate * (1 - rate)))).alias("apart"))
-        node = node.join(child, ["template", "part"])
+        node = node.join(cut(child), ["template", "part"])
         name = F.when(F.col(f"seg.s{i}").isNull(), F.lit("")).when(F.col("apart"), F.concat(F.lit("/"), "part")).otherwise(F.lit("/*"))
         node = node.withColumn("template", F.concat("template", name)).drop("part", "apart")
     pure = node.groupBy("template").agg(F.sum("n").alias("n_labelled"), F.sum("b").alias("n_block"))
