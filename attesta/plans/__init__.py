@@ -1,0 +1,6 @@
+"""All queries of the engine and their oracles."""
+
+from . import queries_core
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "queries_core"]
