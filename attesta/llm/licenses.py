@@ -67,7 +67,8 @@ def anchors(vecs: DataFrame, threshold: float) -> list[str]:
 
 
 def matches(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """file (key), unit (-1: the whole file), n_terms, license, score of the units that carry a licence. ``files`` has file and text."""
+    """file (key), n_file (its terms), unit (-1: the whole file), n_terms, license, score of the units that carry a licence. ``files``
+    has file and text."""
     vecs, idf, n = vectors(files, templates)
     vecs, idf = cut(vecs), cut(idf)
     keys = F.array(*[F.lit(t) for t in anchors(vecs, threshold)])
@@ -77,15 +78,15 @@ def matches(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     kind = "array<struct<unit:int,line:string>>"
     # a quick look for anchors in the raw line spares most lines the cut into terms
     look = "|".join(t for t in sorted(anchors(vecs, threshold), key=lambda t: (len(t), t)))
-    unit = files.where(F.lower("text").rlike(look)).select("file", F.explode(F.concat(F.coalesce(whole, F.array().cast(kind)), lines.cast(kind))).alias("u"))
-    unit = unit.select("file", F.col("u.unit").alias("unit"), terms(F.col("u.line")).alias("terms")).where(F.arrays_overlap("terms", keys))
-    tf = unit.select("file", "unit", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).groupBy("file", "unit", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
+    unit = files.where(F.lower("text").rlike(look)).select("file", F.size(terms(F.col("text"))).alias("n_file"), F.explode(F.concat(F.coalesce(whole, F.array().cast(kind)), lines.cast(kind))).alias("u"))
+    unit = unit.select("file", "n_file", F.col("u.unit").alias("unit"), terms(F.col("u.line")).alias("terms")).where(F.arrays_overlap("terms", keys))
+    tf = unit.select("file", "n_file", "unit", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).groupBy("file", "n_file", "unit", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = tf.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.log(n) + 1))
-    dot = tf.join(F.broadcast(vecs), "term", "left").groupBy("file", "unit", "n_terms", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    dot = tf.join(F.broadcast(vecs), "term", "left").groupBy("file", "n_file", "unit", "n_terms", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     norm = tf.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     got = dot.where(F.col("template").isNotNull()).join(norm, ["file", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
-    best = got.where(F.col("score") >= threshold).groupBy("file", "unit", "n_terms").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("best"))
-    return best.select("file", "unit", "n_terms", F.col("best.license").alias("license"), (-F.col("best.neg")).alias("score"))
+    best = got.where(F.col("score") >= threshold).groupBy("file", "n_file", "unit", "n_terms").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("best"))
+    return best.select("file", "n_file", "unit", "n_terms", F.col("best.license").alias("license"), (-F.col("best.neg")).alias("score"))
 
 
 def folder(path: Column) -> Column:
@@ -98,11 +99,10 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     key = F.unhex(F.md5(F.concat_ws("\n", F.coalesce("path", F.lit("")), F.coalesce("text", F.lit("")))))
     keyed = files.select("doc_id", "path", "text", key.alias("file"))
     unit = cut(matches(keyed.where(F.col("text").isNotNull()).select("file", "text"), templates, threshold))
-    own = unit.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("best"), F.sum(F.when(F.col("unit") >= 0, F.col("n_terms")).otherwise(0)).alias("covered"), F.max(F.when(F.col("unit") < 0, True)).alias("whole"))
-    # only files with a licence of their own can be licence files; their words are counted
-    size = keyed.join(own.select("file"), "file", "left_semi").select("file", "path", F.size(terms(F.col("text"))).alias("n")).distinct()
+    own = unit.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("best"), F.sum(F.when(F.col("unit") >= 0, F.col("n_terms")).otherwise(0)).alias("covered"), F.max(F.when(F.col("unit") < 0, True)).alias("whole"), F.first("n_file").alias("n"))
+    # only files with a licence of their own can be licence files; their texts stay where they are
     named = F.regexp_extract("path", "([^/]*)$", 1).rlike(r"(?i)^(license|licence|copying|notice)(\.[a-z]+)?$")
-    of = own.join(size, "file").where(named | F.coalesce("whole", F.lit(False)) | (2 * F.col("covered") >= F.col("n")))
+    of = own.join(keyed.select("file", "path").distinct(), "file").where(named | F.coalesce("whole", F.lit(False)) | (2 * F.col("covered") >= F.col("n")))
     of = of.where(F.col("path").isNotNull()).groupBy(folder(F.col("path")).alias("dir")).agg(F.min("best").alias("dir_best"))
     # path joins: each directory of the table meets its ancestors; directories, not files, are exploded
     dirs = keyed.where(F.col("path").isNotNull()).select(folder(F.col("path")).alias("at")).distinct()
