@@ -1,6 +1,6 @@
 """All queries of the engine and their oracles."""
 
-from . import queries_core
+from . import queries_core, queries_policy
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries_core"]
+__all__ = ["ORACLES", "QUERIES", "queries_core", "queries_policy"]
