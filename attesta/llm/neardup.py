@@ -9,8 +9,9 @@ lets aligned k-mers drift apart, so nothing that would pass is missed.
 
 Equal texts are one node (md5 of the text). Texts that share a sketch form a bucket; its members are verified
 against its leader, the first of it in one of ``ORDERS`` random orders, so that a text meets several leaders; links are closed
-to components; the members of a bucket that are not in the component of their leader are a smaller bucket with a leader of its
-own, until no bucket has two components left. So copies are never expanded into pairs, and no partner is capped.
+to components. Members of a bucket that are not in the component of their leader are compared with one another where they lie,
+if they are at most ``LIMIT``; a larger rest is cut finer, by one sketch more that its members share, and treated likewise.
+So copies are never expanded into pairs, no task holds more than ``LIMIT`` texts of a bucket, and no partner is capped.
 
 Nulls: a null text equals an empty one. Texts without words are alike only if equal. Repeated rows share a class.
 A class is named by its smallest doc_id (null if all are null). Empty tables give no rows. Long texts are read whole.
@@ -28,6 +29,10 @@ from pyspark.sql import functions as F
 from .common import cut, drop, table
 
 K, ELL, SKETCHES, THRESHOLD, ORDERS = 5, 4, 24, 0.8, 3
+#: Texts of a bucket that are compared in one task.
+LIMIT = 1024
+#: Sketches two of them must share to be compared there; texts of similarity 0.8 share fewer once in 15,000 times.
+SHARED = 2
 #: Members of one leader that are verified in one task's run; a leader with more is spread over several.
 SPREAD = 256
 CHUNK = 1 << 20
@@ -213,7 +218,7 @@ def links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     many = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("parts"))
     pairs = pairs.join(many, "lead").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     heads = many.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("lead").alias("node"))
-    both = heads.unionByName(pairs.select("lead", "part", "node")).join(texts, "node")
+    both = heads.unionByName(pairs.select("lead", "part", "node")).join(texts.select("node", "text"), "node")
     both = both.select("lead", "part", (F.col("node") != F.col("lead")).alias("member"), "node", "text")
     ordered = both.repartition("lead", "part").sortWithinPartitions("lead", "part", "member")
     return ordered.drop("part", "member").mapInPandas(_verifier(threshold), "lead binary, node binary")
@@ -241,39 +246,90 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _closer(threshold: float):
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, nodes, roots, seqs, sketches, sizes = None, [], [], [], np.zeros((0, SKETCHES), dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for pdf in batches:
+            out = []
+            rows = zip(_sequences(pdf["text"]), pdf["group"], pdf["members"], pdf["node"], pdf["root"], pdf["sketch"], strict=True)
+            for (_, seq), g, members, node, own, mine in rows:
+                if g != group:
+                    group, nodes, roots, seqs = g, [], [], []
+                    sketches, sizes = np.zeros((members, SKETCHES), dtype=np.int64), np.zeros(members, dtype=np.int64)
+                n, at = len(seq), len(nodes)
+                # alike in SHARED sketches, of fitting length and not connected already
+                short, long_ = np.minimum(sizes[:at], n), np.maximum(sizes[:at], n)
+                near = np.flatnonzero(((sketches[:at] == mine).sum(axis=1) >= SHARED) & (short >= threshold * long_))
+                uniq = None
+                for i in near.tolist():
+                    if roots[i] == own:
+                        continue
+                    uniq = np.unique(seq) if uniq is None else uniq
+                    other = seqs[i]
+                    need = int(np.ceil(threshold * (n + len(other)) / (1 + threshold) - 1e-9))
+                    if len(np.intersect1d(uniq, np.unique(other), assume_unique=True)) + n - len(uniq) < need:
+                        continue
+                    if similarity(other, seq, threshold) >= threshold:
+                        out.append((nodes[i], node))
+                        old = roots[i]
+                        roots = [own if x == old else x for x in roots]
+                nodes.append(node)
+                roots.append(own)
+                seqs.append(seq)
+                sketches[at], sizes[at] = mine, n
+            yield pd.DataFrame(out, columns=["lead", "node"])
+
+    return close
+
+
+def closed(groups: DataFrame, root: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links between those members of each group (array of at most ``LIMIT`` nodes) that are in different components, every two of
+    which are compared where they lie: one group is in one task, and only links leave it."""
+    one = groups.select(F.xxhash64("members").alias("group"), F.size("members").alias("members"), F.explode("members").alias("node"))
+    rows = one.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts, "node")
+    return rows.repartition("group").sortWithinPartitions("group", "node").mapInPandas(_closer(threshold), "lead binary, node binary")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, limit: int = LIMIT) -> DataFrame:
     """node, root of every different text of ``docs`` that has a near-duplicate; all other texts are their own root."""
     nodes = nodes_of(docs)
-    sketched = nodes.mapInPandas(_sketches, "node binary, sketch array<long>")
-    band = sketched.select("node", F.posexplode("sketch").alias("band", "h")).distinct()
-    size = band.groupBy("band", "h").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").drop("a", "z")
-    bucket = cut(band.join(size, ["band", "h"]).select("band", "h", "node"))
-    texts = cut(nodes.join(bucket.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    rest = bucket.withColumn("root", F.col("node"))
+    sketched = cut(nodes.mapInPandas(_sketches, "node binary, sketch array<long>").groupBy("node").agg(F.first("sketch").alias("sketch")))
+    band = sketched.select("node", F.posexplode("sketch").alias("band", "h"))
+    met = band.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bands = cut(band.join(met, ["band", "h"]).select("node", "band", "h"))
+    some = sketched.join(bands.select("node").distinct(), "node", "left_semi")
+    texts = cut(nodes.join(some, "node").groupBy("node").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch")))
+    drop(sketched)
+    rest = bands.select("node", F.col("node").alias("root"), F.col("band").cast("long").alias("band"), "h", F.col("band").alias("last"))
     rank = F.struct(F.xxhash64("node", F.col("band") % ORDERS).alias("rank"), "node", "root")
-    found, tried, root = None, None, None
+    found, root = None, None
     while True:
         lead = rest.groupBy("band", "h").agg(F.min(rank).alias("lead")).select("band", "h", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"))
-        led = cut(rest.join(lead, ["band", "h"]).where("root != lead_root").select("band", "h", "node", "lead"))
-        todo = led.select("lead", "node").distinct()
-        if tried is not None:
-            todo = todo.join(tried, ["lead", "node"], "left_anti")
-        todo = cut(todo)
+        led = cut(rest.join(lead, ["band", "h"]).where("root != lead_root").select("band", "h", "last", "node", "lead"))
         if not led.limit(1).count():
             break
-        new = cut(links(todo, texts, threshold))
+        new = cut(links(led.select("lead", "node").distinct(), texts, threshold))
         found = new if found is None else found.unionByName(new)
-        tried = todo if tried is None else tried.unionByName(todo)
         root = cut(components(found.select(F.col("lead").alias("u"), F.col("node").alias("v"))))
         # what joined its leader's component has met; the others are a smaller bucket
         at = led.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         led_root = root.select(F.col("node").alias("lead"), F.col("root").alias("lead_root"))
         at = at.join(led_root, "lead", "left").where(F.col("root") != F.coalesce("lead_root", "lead"))
-        rest = cut(at.select("band", "h", "node", "root"))
+        left = cut(at.select("band", "h", "last", "node", "root"))
         drop(led)
-    if root is None:
-        return nodes.select("node", F.col("node").alias("root")).limit(0)
-    return root
+        size = left.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        small = left.join(size.where(F.col("n") <= limit), ["band", "h"], "left_semi")
+        groups = small.groupBy("band", "h").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members").distinct()
+        found = found.unionByName(cut(closed(groups, root, texts, threshold)))
+        root = cut(components(found.select(F.col("lead").alias("u"), F.col("node").alias("v"))))
+        # larger buckets are refined: their members must share one more sketch
+        large = left.join(size.where(F.col("n") > limit), ["band", "h"], "left_semi").select("band", "h", "last", "node")
+        more = large.join(bands.select("node", F.col("band").alias("band2"), F.col("h").alias("h2")), "node").where("band2 > last")
+        finer = more.select("node", F.xxhash64("band", "h").alias("band"), F.xxhash64("band", "h", "band2", "h2").alias("h"), F.col("band2").alias("last"))
+        twice = finer.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        finer = finer.join(twice, ["band", "h"], "left_semi")
+        rest = cut(finer.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "band", "h", "last"))
+    return root if root is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
 
 
 def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
