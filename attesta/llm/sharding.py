@@ -68,7 +68,7 @@ def rebalance(slot_map: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame
     share = have.agg(F.sum("bytes").alias("total")).select((F.col("total") / n_shards).alias("share"))
     w = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot")
     run = have.crossJoin(F.broadcast(share)).withColumn("upto", F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    stay = run.where((F.col("shard") < n_shards) & (F.col("upto") <= F.ceil("share")))
+    stay = run.where((F.col("shard") < n_shards) & ((F.col("upto") <= F.ceil("share")) | (F.col("bytes") == 0)))
     lift = run.join(stay.select("virtual_slot"), "virtual_slot", "left_anti")
     shards = slot_map.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard"))
     load = shards.join(stay.groupBy("shard").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).cast("int").alias("n")), "shard", "left").na.fill(0)
