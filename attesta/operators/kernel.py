@@ -58,7 +58,7 @@ def keys(direct: DataFrame) -> DataFrame:
 
 
 def interpretations(direct: DataFrame, policy: str = "P0cSU", budget: int = BUDGET, specs=SPECS) -> DataFrame:
-    """entity, attr, reps, n, single, changeable, masks (admissible labellings), level (of the relaxation ladder). Keys with more than
+    """entity, attr, reps, n, single, changeable, masks (admissible labellings), level (of the relaxation ladder), limited. Keys with more than
     ``budget`` reports are kept with null masks: they are resource-limited, never degraded."""
     k = _flags(keys(direct), specs).withColumn("m", F.expr(MASKS)).withColumn("every", F.expr(f"if(n <= {budget}, sequence(0L, shiftleft(1L, n) - 1), null)"))
     k = k.withColumn("l0", F.expr(_admissible(policy, False)))
@@ -66,7 +66,9 @@ def interpretations(direct: DataFrame, policy: str = "P0cSU", budget: int = BUDG
     k = k.withColumn("l2", F.expr(f"if(size(l1) = 0, {_admissible('P0', True)}, null)"))
     level = "case when every is null then null when size(l0) > 0 then 0 when size(l1) > 0 then 1 when size(l2) > 0 then 2 else 3 end"
     masks = "case when every is null then null when size(l0) > 0 then l0 when size(l1) > 0 then l1 when size(l2) > 0 then l2 else array(0L) end"
-    return k.withColumns({"level": F.expr(level), "masks": F.expr(masks)}).drop("m", "every", "l0", "l1", "l2")
+    # filters ask ``limited`` and not ``masks``: a predicate on masks would be pushed below the projections and evaluate them twice;
+    # and arrays made here, which are never empty, go through explode_outer, since explode would infer such a predicate
+    return k.withColumns({"level": F.expr(level), "masks": F.expr(masks), "limited": F.col("n") > budget}).drop("m", "every", "l0", "l1", "l2")
 
 
 def _top(x: str) -> str:
@@ -114,8 +116,8 @@ def pieces(inter: DataFrame) -> DataFrame:
     cuts = "array_sort(array_distinct(flatten(transform(reps, p -> array(p.anchor, p.anchor + 1)))))"
     spans = """concat(array(named_struct('lo', cast(null as int), 'hi', cuts[0], 'rep', cuts[0] - 1)),
         transform(cuts, (c, i) -> named_struct('lo', c, 'hi', get(cuts, i + 1), 'rep', c)))"""
-    k = _runs(inter.where("masks is not null")).withColumn("cuts", F.expr(cuts))
-    return k.select("*", F.explode(F.expr(spans)).alias("piece")).select("*", "piece.lo", "piece.hi", "piece.rep").drop("piece", "cuts")
+    k = _runs(inter.where("not limited")).withColumn("cuts", F.expr(cuts))
+    return k.select("*", F.explode_outer(F.expr(spans)).alias("piece")).select("*", "piece.lo", "piece.hi", "piece.rep").drop("piece", "cuts")
 
 
 def _runs(k: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def prior_of(source_class: Column) -> Column:
 def supporting(piece: DataFrame) -> DataFrame:
     """entity, attr, cand, rid, lsn, grp, source_class of every report in a support of a candidate; candidates without support have one
     row of nulls. ``piece`` has ``sup`` and ``reps``; one piece per key."""
-    s = piece.select("entity", "attr", "reps", F.explode("sup").alias("s"))
+    s = piece.select("entity", "attr", "reps", F.explode_outer("sup").alias("s"))
     ids = F.expr("array_distinct(flatten(transform(s.envs, e -> split(e, ','))))")
     r = s.select("entity", "attr", F.when(F.col("s.world") == "", "(empty)").otherwise(F.col("s.world")).alias("cand"), F.explode_outer(F.filter("reps", lambda p: F.array_contains(ids, p["rid"]))).alias("p"))
     return r.select("entity", "attr", "cand", "p.rid", "p.lsn", "p.grp", "p.source_class")

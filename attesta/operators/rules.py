@@ -19,8 +19,8 @@ def rule_edges(spark: SparkSession) -> DataFrame:
 
 def family_rows(inter: DataFrame, day: int) -> DataFrame:
     """entity, attr, world: a row per candidate world of each key."""
-    k = inter.where("masks is not null")
-    return k.select("entity", "attr", F.explode(F.expr(K.family(str(day)))).alias("world"))
+    k = inter.where("not limited")
+    return k.select("entity", "attr", F.explode_outer(F.expr(K.family(str(day)))).alias("world"))
 
 
 def head_offices(supplier: DataFrame, reports: int = 5) -> DataFrame:

@@ -194,21 +194,21 @@ def admission_as_of(spark, sf_dir):
 @query("op_k3_interpretations", oracle("interp", "SELECT entity, attr, count(*) AS interpretations, sum(mask)::BIGINT AS mask_sum FROM interp GROUP BY 1, 2"))
 def interpretations(spark, sf_dir):
     """OP-K3, OP-K4, OP-K5: how many labellings of each key are admissible."""
-    k = K.interpretations(evidence(spark, sf_dir)).where("masks is not null")
+    k = K.interpretations(evidence(spark, sf_dir)).where("not limited")
     return k.select("entity", "attr", F.size("masks").cast("long").alias("interpretations"), F.expr("aggregate(masks, 0L, (a, b) -> a + b)").alias("mask_sum"))
 
 
 @query("op_k6_relaxation", oracle("lev", "SELECT entity, attr, level FROM lev"))
 def relaxation(spark, sf_dir):
-    return K.interpretations(evidence(spark, sf_dir)).where("masks is not null").select("entity", "attr", "level")
+    return K.interpretations(evidence(spark, sf_dir)).where("not limited").select("entity", "attr", "level")
 
 
 @query("op_k7_runs", oracle("runs", "SELECT entity, attr, mask, value, CAST(first AS INT) AS first, CAST(last AS INT) AS last, array_to_string(ids, ',') AS members FROM runs"))
 def runs(spark, sf_dir):
     """OP-K7, OP-K8, OP-P1: maximal runs of every admissible labelling and their members."""
-    k = K._runs(K.interpretations(evidence(spark, sf_dir)).where("masks is not null"))
-    one = k.select("entity", "attr", "reps", F.explode("runs").alias("y"))
-    run = one.select("entity", "attr", "reps", F.col("y.x").alias("mask"), F.explode(F.expr("array_distinct(filter(y.r, r -> r <> 0))")).alias("e"))
+    k = K._runs(K.interpretations(evidence(spark, sf_dir)).where("not limited"))
+    one = k.select("entity", "attr", "reps", F.explode_outer("runs").alias("y"))
+    run = one.select("entity", "attr", "reps", F.col("y.x").alias("mask"), F.explode_outer(F.expr("array_distinct(filter(y.r, r -> r <> 0))")).alias("e"))
     inside = "filter(transform(reps, (p, j) -> named_struct('p', p, 'in', (e & shiftleft(1L, j)) <> 0)), q -> q.in)"
     run = run.withColumn("q", F.expr(inside))
     return run.select(
@@ -234,8 +234,8 @@ def status_at_day(spark, sf_dir):
 
 @query("op_k12_family_at_day", oracle("fam", "SELECT entity, attr, CASE WHEN world = '' THEN '(empty)' ELSE world END AS world FROM fam WHERE (lo IS NULL OR lo <= -717) AND (hi IS NULL OR hi > -717)"))
 def family_at_day(spark, sf_dir):
-    k = K.interpretations(evidence(spark, sf_dir)).where("masks is not null")
-    return k.select("entity", "attr", F.explode(F.expr(K.family(str(DAY)))).alias("world")).withColumn("world", F.when(F.col("world") == "", "(empty)").otherwise(F.col("world")))
+    k = K.interpretations(evidence(spark, sf_dir)).where("not limited")
+    return k.select("entity", "attr", F.explode_outer(F.expr(K.family(str(DAY)))).alias("world")).withColumn("world", F.when(F.col("world") == "", "(empty)").otherwise(F.col("world")))
 
 
 @query("op_k14_segments", oracle("segment", "SELECT * FROM segment"))
@@ -263,7 +263,7 @@ SELECT entity, attr, bool_and(list_contains(string_split(world, '+'), 'v1')) AS
 FROM (SELECT DISTINCT entity, attr, world FROM worlds WHERE (lo IS NULL OR lo <= -717) AND (hi IS NULL OR hi > -717)) GROUP BY 1, 2"""))
 def holds(spark, sf_dir):
     """OP-K16: whether v1 holds in every or any world of the day."""
-    k = K.interpretations(evidence(spark, sf_dir)).where("masks is not null").withColumn("fam", F.expr(K.family(str(DAY))))
+    k = K.interpretations(evidence(spark, sf_dir)).where("not limited").withColumn("fam", F.expr(K.family(str(DAY))))
     has = "array_contains(split(w, '[+]'), 'v1')"
     return k.select("entity", "attr", F.expr(f"forall(fam, w -> {has})").alias("all_true"), F.expr(f"exists(fam, w -> {has})").alias("any_true"))
 
@@ -275,7 +275,7 @@ SELECT i.entity, i.attr, bool_and(c) AS all_true, bool_or(c) AS any_true FROM (
   FROM interp i WHERE i.attr <> 'tags') i GROUP BY 1, 2"""))
 def changed(spark, sf_dir):
     """OP-K17: whether a run of v0 ended and one of v1 came later, per labelling of single-valued keys."""
-    k = K._runs(K.interpretations(evidence(spark, sf_dir)).where("masks is not null and single"))
+    k = K._runs(K.interpretations(evidence(spark, sf_dir)).where("not limited and single"))
     # a run of v0 ends where a TRUE rival follows it; a later TRUE report of v1 starts or continues a run after that
     c = """transform(runs, y -> exists(sequence(0, n - 1), i -> reps[i].value = 'v0' and y.r[i] <> 0 and
         exists(sequence(0, n - 1), j -> j > i and reps[j].value = 'v1' and y.r[j] <> 0)))"""
@@ -287,7 +287,7 @@ def changed(spark, sf_dir):
 SELECT l.rid, bool_and(NOT l.t) AS all_err, bool_or(NOT l.t) AS any_err FROM lab l JOIN interp USING (entity, attr, mask) GROUP BY 1"""))
 def erroneous(spark, sf_dir):
     """OP-K18, OP-K27: reports that are ERR in every or some labelling."""
-    k = K.interpretations(evidence(spark, sf_dir)).where("masks is not null")
+    k = K.interpretations(evidence(spark, sf_dir)).where("not limited")
     bits = k.withColumns({"any_t": F.expr("aggregate(masks, 0L, (a, b) -> a | b)"), "all_t": F.expr("aggregate(masks, -1L, (a, b) -> a & b)")})
     one = bits.select(F.posexplode("reps").alias("i", "r"), "any_t", "all_t")
     b = F.expr("shiftleft(1L, i)")
@@ -326,7 +326,7 @@ _P3 = oracle("minenv", "SELECT entity, attr, CAST(lo AS INT) AS lo, CASE WHEN wo
 def minimal_environments(spark, sf_dir):
     """OP-P2, OP-P3: the subset-minimal environments of each candidate in each piece of valid time."""
     p = K.supports(K.pieces(K.interpretations(evidence(spark, sf_dir))))
-    w = p.select("entity", "attr", "lo", F.explode("sup").alias("s")).select("entity", "attr", "lo", F.col("s.world").alias("world"), F.explode("s.envs").alias("env"))
+    w = p.select("entity", "attr", "lo", F.explode_outer("sup").alias("s")).select("entity", "attr", "lo", F.col("s.world").alias("world"), F.explode_outer("s.envs").alias("env"))
     size = F.when(F.col("env") == "", 0).otherwise(F.size(F.split("env", ",")))
     return w.select("entity", "attr", "lo", F.when(F.col("world") == "", "(empty)").otherwise(F.col("world")).alias("world"), size.alias("size"), "env")
 
@@ -336,7 +336,7 @@ SELECT entity, attr, world, min(array_to_string(env, ',')) AS env FROM minenv WH
 def explain_one(spark, sf_dir):
     """OP-P7: the lexicographically least environment of each candidate of the day."""
     p = K.pieces(K.interpretations(evidence(spark, sf_dir))).where(f"(lo is null or lo <= {DAY}) and (hi is null or hi > {DAY})")
-    s = K.supports(p).select("entity", "attr", F.explode("sup").alias("s")).where("s.world <> ''")
+    s = K.supports(p).select("entity", "attr", F.explode_outer("sup").alias("s")).where("s.world <> ''")
     return s.select("entity", "attr", F.col("s.world").alias("world"), F.array_min("s.envs").alias("env"))
 
 
@@ -345,7 +345,7 @@ SELECT d.entity, d.attr, string_agg(d.rid, ',' ORDER BY d.rid) AS ids FROM direc
 WHERE EXISTS (SELECT 1 FROM fam f WHERE f.entity = d.entity AND f.attr = d.attr AND (lo IS NULL OR lo <= -717) AND (hi IS NULL OR hi > -717) AND list_contains(string_split(f.world, '+'), d.value)) GROUP BY 1, 2"""))
 def flat_provenance(spark, sf_dir):
     """OP-P8, OP-C4: reports whose value is in any candidate world of the day."""
-    k = K.interpretations(evidence(spark, sf_dir)).where("masks is not null").withColumn("fam", F.expr(K.family(str(DAY))))
+    k = K.interpretations(evidence(spark, sf_dir)).where("not limited").withColumn("fam", F.expr(K.family(str(DAY))))
     ids = F.expr("array_join(array_sort(transform(filter(reps, p -> exists(fam, w -> array_contains(split(w, '[+]'), p.value))), p -> p.rid)), ',')")
     return k.select("entity", "attr", ids.alias("ids")).where("ids <> ''")
 
@@ -366,7 +366,7 @@ def explanation_cut(spark, sf_dir):
     """OP-P11: the first two supports of each key's answer."""
     p = K.pieces(K.interpretations(evidence(spark, sf_dir))).where(f"(lo is null or lo <= {DAY}) and (hi is null or hi > {DAY})")
     all_ = F.expr("slice(flatten(transform(filter(sup, s -> s.world <> ''), s -> transform(s.envs, e -> named_struct('world', s.world, 'env', e)))), 1, 2)")
-    return K.supports(p).select("entity", "attr", F.explode(all_).alias("s")).select("entity", "attr", "s.world", "s.env")
+    return K.supports(p).select("entity", "attr", F.explode_outer(all_).alias("s")).select("entity", "attr", "s.world", "s.env")
 
 
 @query("op_p12_attribution_support", oracle("ev", """

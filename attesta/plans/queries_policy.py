@@ -206,7 +206,7 @@ def answer_v1(spark, sf_dir):
 SELECT entity, attr, CASE WHEN bool_and(h) OR NOT bool_or(h) THEN 'established' ELSE 'possible' END AS status, CASE WHEN bool_or(h) THEN true ELSE false END AS assertion
 FROM (SELECT DISTINCT entity, attr, world, list_contains(string_split(world, '+'), 'v1') AS h FROM worlds WHERE (lo IS NULL OR lo <= -717) AND (hi IS NULL OR hi > -717)) GROUP BY 1, 2"""))
 def yesno(spark, sf_dir):
-    k = K.interpretations(evidence(spark, sf_dir)).where("masks is not null").withColumn("fam", F.expr(K.family(str(DAY))))
+    k = K.interpretations(evidence(spark, sf_dir)).where("not limited").withColumn("fam", F.expr(K.family(str(DAY))))
     has = "array_contains(split(w, '[+]'), 'v1')"
     all_, any_ = F.expr(f"forall(fam, w -> {has})"), F.expr(f"exists(fam, w -> {has})")
     return k.select("entity", "attr", F.when(all_ | ~any_, "established").otherwise("possible").alias("status"), any_.alias("assertion"))
