@@ -52,7 +52,11 @@ def _flags(df: DataFrame, specs=SPECS) -> DataFrame:
 
 
 def keys(direct: DataFrame) -> DataFrame:
-    """entity, attr, reps, n: the reports of each key in order."""
+    """entity, attr, reps, n: the reports of each key in order. The rows are few bytes and much work, so the number of partitions
+    is given: adaptive execution would put them together by their bytes. The grouping reuses this shuffle."""
+    spark = direct.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    direct = direct.repartition(parts, "entity", "attr")
     rep = F.struct("anchor", "value", "lsn", "rid", "op", "frm", "of", "grp", "source_class")
     return direct.groupBy("entity", "attr").agg(F.array_sort(F.collect_list(rep)).alias("reps")).withColumn("n", F.size("reps"))
 
