@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import admission as A
 from attesta.operators import kernel as K
+from attesta.operators.tables import cut
 from attesta.plans.ctes import oracle
 from attesta.plans.registry import query
 from attesta.sources.report_log import report_log
@@ -208,7 +209,7 @@ def runs(spark, sf_dir):
     """OP-K7, OP-K8, OP-P1: maximal runs of every admissible labelling and their members."""
     k = K._runs(K.interpretations(evidence(spark, sf_dir)).where("not limited"))
     one = k.select("entity", "attr", "reps", F.explode_outer("runs").alias("y"))
-    run = one.select("entity", "attr", "reps", F.col("y.x").alias("mask"), F.explode_outer(F.expr("array_distinct(filter(y.r, r -> r <> 0))")).alias("e"))
+    run = one.select("entity", "attr", "reps", F.col("y.x").alias("mask"), F.explode_outer(F.expr("array_distinct(filter(y.r, r -> r <> 0))")).alias("e")).where("e is not null")
     inside = "filter(transform(reps, (p, j) -> named_struct('p', p, 'in', (e & shiftleft(1L, j)) <> 0)), q -> q.in)"
     run = run.withColumn("q", F.expr(inside))
     return run.select(
@@ -347,7 +348,7 @@ def flat_provenance(spark, sf_dir):
     """OP-P8, OP-C4: reports whose value is in any candidate world of the day."""
     k = K.interpretations(evidence(spark, sf_dir)).where("not limited").withColumn("fam", F.expr(K.family(str(DAY))))
     ids = F.expr("array_join(array_sort(transform(filter(reps, p -> exists(fam, w -> array_contains(split(w, '[+]'), p.value))), p -> p.rid)), ',')")
-    return k.select("entity", "attr", ids.alias("ids")).where("ids <> ''")
+    return cut(k.select("entity", "attr", ids.alias("ids"))).where("ids <> ''")  # else the predicate repeats the expression
 
 
 @query("op_p10_flatten", oracle("minenv", """
@@ -355,7 +356,7 @@ SELECT entity, attr, CAST(lo AS INT) AS lo, string_agg(DISTINCT id, ',' ORDER BY
 def flatten_envs(spark, sf_dir):
     p = K.supports(K.pieces(K.interpretations(evidence(spark, sf_dir))))
     ids = F.expr("array_join(array_sort(array_distinct(filter(flatten(flatten(transform(sup, s -> transform(s.envs, e -> split(e, ','))))), x -> x <> ''))), ',')")
-    return p.select("entity", "attr", "lo", ids.alias("ids")).where("ids <> ''")
+    return cut(p.select("entity", "attr", "lo", ids.alias("ids"))).where("ids <> ''")
 
 
 @query("op_p11_explanation_cut", oracle("minenv", """
@@ -366,7 +367,7 @@ def explanation_cut(spark, sf_dir):
     """OP-P11: the first two supports of each key's answer."""
     p = K.pieces(K.interpretations(evidence(spark, sf_dir))).where(f"(lo is null or lo <= {DAY}) and (hi is null or hi > {DAY})")
     all_ = F.expr("slice(flatten(transform(filter(sup, s -> s.world <> ''), s -> transform(s.envs, e -> named_struct('world', s.world, 'env', e)))), 1, 2)")
-    return K.supports(p).select("entity", "attr", F.explode_outer(all_).alias("s")).select("entity", "attr", "s.world", "s.env")
+    return K.supports(p).select("entity", "attr", F.explode_outer(all_).alias("s")).where("s is not null").select("entity", "attr", "s.world", "s.env")
 
 
 @query("op_p12_attribution_support", oracle("ev", """
