@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop, table
 
-K, ELL, SKETCHES, THRESHOLD, ORDERS = 5, 4, 24, 0.8, 3
+K, ELL, SKETCHES, THRESHOLD, ORDERS = 5, 4, 24, 0.8, 12
 #: Texts of a bucket that are compared in one task.
 LIMIT = 1024
 #: Sketches two of them must share to be compared there; texts of similarity 0.8 share fewer once in 15,000 times.
