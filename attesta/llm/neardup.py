@@ -9,9 +9,10 @@ lets aligned k-mers drift apart, so nothing that would pass is missed.
 
 Equal texts are one node (md5 of the text). Texts that share a sketch form a bucket; its members are verified
 against its leader, the first of it in one of ``ORDERS`` random orders, so that a text meets several leaders; links are closed
-to components. Members of a bucket that are not in the component of their leader are compared with one another where they lie,
-if they are at most ``LIMIT``; a larger rest is cut finer, by one sketch more that its members share, and treated likewise.
-So copies are never expanded into pairs, no task holds more than ``LIMIT`` texts of a bucket, and no partner is capped.
+to components. Members of a bucket that are not in the component of their leader are then compared with all members, also those
+that joined it, where they lie; more than ``LIMIT`` members are compared in blocks. If more than ``LIMIT`` are outside, the bucket
+is first cut finer by one sketch more, as two texts must share ``SHARED`` sketches to be compared at all.
+So no task holds more than about ``LIMIT`` texts of a bucket, and no partner is capped.
 
 Nulls: a null text equals an empty one. Texts without words are alike only if equal. Repeated rows share a class.
 A class is named by its smallest doc_id (null if all are null). Empty tables give no rows. Long texts are read whole.
@@ -246,28 +247,34 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _closer(threshold: float):
+def _closer(threshold: float, depth: int):
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, nodes, roots, seqs, sketches, sizes = None, [], [], [], np.zeros((0, SKETCHES), dtype=np.int64), np.zeros(0, dtype=np.int64)
+        group, nodes, roots, seqs, uniqs = None, [], [], [], []
+        sketches, sizes, sides = np.zeros((64, SKETCHES), dtype=np.int64), np.zeros(64, dtype=np.int64), np.zeros(64, dtype=np.int8)
         for pdf in batches:
             out = []
-            rows = zip(_sequences(pdf["text"]), pdf["group"], pdf["members"], pdf["node"], pdf["root"], pdf["sketch"], strict=True)
-            for (_, seq), g, members, node, own, mine in rows:
+            rows = zip(_sequences(pdf["text"]), pdf["group"], pdf["last"], pdf["side"], pdf["node"], pdf["root"], pdf["sketch"], strict=True)
+            for (_, seq), g, last, side, node, own, mine in rows:
                 if g != group:
-                    group, nodes, roots, seqs = g, [], [], []
-                    sketches, sizes = np.zeros((members, SKETCHES), dtype=np.int64), np.zeros(members, dtype=np.int64)
+                    group, nodes, roots, seqs, uniqs = g, [], [], [], []
                 n, at = len(seq), len(nodes)
-                # alike in SHARED sketches, of fitting length and not connected already
+                if at == len(sizes):
+                    sketches, sizes, sides = (np.concatenate([x, np.zeros_like(x)]) for x in (sketches, sizes, sides))
+                # of sides that meet, first met here, alike in SHARED sketches, of fitting length and not connected already
+                same = sketches[:at] == mine
                 short, long_ = np.minimum(sizes[:at], n), np.maximum(sizes[:at], n)
-                near = np.flatnonzero(((sketches[:at] == mine).sum(axis=1) >= SHARED) & (short >= threshold * long_))
+                meet = ((sides[:at] == 0) | (sides[:at] != side)) & (same[:, :last].sum(axis=1) == depth)
+                near = np.flatnonzero(meet & (same.sum(axis=1) >= SHARED) & (short >= threshold * long_))
                 uniq = None
                 for i in near.tolist():
                     if roots[i] == own:
                         continue
                     uniq = np.unique(seq) if uniq is None else uniq
                     other = seqs[i]
+                    if uniqs[i] is None:
+                        uniqs[i] = np.unique(other)
                     need = int(np.ceil(threshold * (n + len(other)) / (1 + threshold) - 1e-9))
-                    if len(np.intersect1d(uniq, np.unique(other), assume_unique=True)) + n - len(uniq) < need:
+                    if len(np.intersect1d(uniq, uniqs[i], assume_unique=True)) + n - len(uniq) < need:
                         continue
                     if similarity(other, seq, threshold) >= threshold:
                         out.append((nodes[i], node))
@@ -276,18 +283,36 @@ def _closer(threshold: float):
                 nodes.append(node)
                 roots.append(own)
                 seqs.append(seq)
-                sketches[at], sizes[at] = mine, n
+                uniqs.append(uniq)
+                sketches[at], sizes[at], sides[at] = mine, n, side
             yield pd.DataFrame(out, columns=["lead", "node"])
 
     return close
 
 
-def closed(groups: DataFrame, root: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links between those members of each group (array of at most ``LIMIT`` nodes) that are in different components, every two of
-    which are compared where they lie: one group is in one task, and only links leave it."""
-    one = groups.select(F.xxhash64("members").alias("group"), F.size("members").alias("members"), F.explode("members").alias("node"))
-    rows = one.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts, "node")
-    return rows.repartition("group").sortWithinPartitions("group", "node").mapInPandas(_closer(threshold), "lead binary, node binary")
+def blocks(left: DataFrame, limit: int) -> DataFrame:
+    """group, last, side, node, root: the members of each bucket laid out so that every two of which one is ``out`` of the leader's
+    component meet in a group. A bucket of at most ``limit`` is one group (side 0: all meet all). A larger one is cut by a hash into
+    blocks of about ``limit / 2``, and those of the rest meet each other and those of the joined, two in a group (sides 1 and 2)."""
+    half = max(1, limit // 2)
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("bx")).otherwise(F.col("bj"))).cast("int")
+    one = F.col("n") <= limit
+    bx = F.when(one, 1).otherwise(F.ceil(F.col("x") / half)).cast("int")
+    bj = F.when(one, 1).otherwise(F.ceil((F.col("n") - F.col("x")) / half)).cast("int")
+    at = left.withColumns({"one": one, "bx": bx, "bj": bj}).withColumn("own", own)
+    other = F.when(F.col("one"), F.array(F.lit(0))).when(F.col("out"), F.sequence(F.lit(0), F.col("bx") + F.col("bj") - 1)).otherwise(F.sequence(F.lit(0), F.col("bx") - 1))
+    at = at.withColumn("place", F.when(F.col("one"), 0).when(F.col("out"), F.col("own")).otherwise(F.col("bx") + F.col("own"))).withColumn("other", F.explode(other))
+    side = F.when(F.col("place") == F.col("other"), 0).when(F.col("place") < F.col("other"), 1).otherwise(2)
+    group = F.xxhash64("band", "h", F.least("place", "other"), F.greatest("place", "other"))
+    return at.select(group.alias("group"), "last", side.alias("side"), "node", "root")
+
+
+def closed(left: DataFrame, texts: DataFrame, threshold: float, limit: int, depth: int) -> DataFrame:
+    """Links between members of a bucket that are in different components, every two of which are compared where they lie: one
+    group is in one task, and only links leave it. Two that share several buckets are compared in the first; ``depth`` sketches
+    before ``last`` are shared by all members."""
+    rows = blocks(left, limit).join(texts, "node")
+    return rows.repartition("group").sortWithinPartitions("group", "node").mapInPandas(_closer(threshold, depth), "lead binary, node binary")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, limit: int = LIMIT) -> DataFrame:
@@ -303,27 +328,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, limit: int = LIMIT) -
     rest = bands.select("node", F.col("node").alias("root"), F.col("band").cast("long").alias("band"), "h", F.col("band").alias("last"))
     rank = F.struct(F.xxhash64("node", F.col("band") % ORDERS).alias("rank"), "node", "root")
     found, root = None, None
-    while True:
+    for depth in range(SHARED):
         lead = rest.groupBy("band", "h").agg(F.min(rank).alias("lead")).select("band", "h", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"))
-        led = cut(rest.join(lead, ["band", "h"]).where("root != lead_root").select("band", "h", "last", "node", "lead"))
-        if not led.limit(1).count():
+        led = cut(rest.join(lead, ["band", "h"]).where("node != lead"))
+        open_ = led.where("root != lead_root")
+        if not open_.limit(1).count():
             break
-        new = cut(links(led.select("lead", "node").distinct(), texts, threshold))
+        new = cut(links(open_.select("lead", "node").distinct(), texts, threshold))
         found = new if found is None else found.unionByName(new)
         root = cut(components(found.select(F.col("lead").alias("u"), F.col("node").alias("v"))))
-        # what joined its leader's component has met; the others are a smaller bucket
-        at = led.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # what joined its leader's component is connected; the others have met the leader alone
+        at = led.select("band", "h", "last", "node", "lead").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         led_root = root.select(F.col("node").alias("lead"), F.col("root").alias("lead_root"))
-        at = at.join(led_root, "lead", "left").where(F.col("root") != F.coalesce("lead_root", "lead"))
-        left = cut(at.select("band", "h", "last", "node", "root"))
+        at = at.join(led_root, "lead", "left").withColumn("out", F.col("root") != F.coalesce("lead_root", "lead"))
+        left = cut(at.select("band", "h", "last", "node", "root", "out"))
         drop(led)
-        size = left.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        small = left.join(size.where(F.col("n") <= limit), ["band", "h"], "left_semi")
-        groups = small.groupBy("band", "h").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members").distinct()
-        found = found.unionByName(cut(closed(groups, root, texts, threshold)))
+        size = left.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.count_if("out").alias("x")).where("n > 1 and x > 0")
+        # a large rest is refined, by the sketches that two texts must share anyway; after that it is compared in blocks, however large
+        final = depth == SHARED - 1
+        small = left.join(size if final else size.where(F.col("x") <= limit), ["band", "h"])
+        found = found.unionByName(cut(closed(small, texts, threshold, limit, depth)))
         root = cut(components(found.select(F.col("lead").alias("u"), F.col("node").alias("v"))))
-        # larger buckets are refined: their members must share one more sketch
-        large = left.join(size.where(F.col("n") > limit), ["band", "h"], "left_semi").select("band", "h", "last", "node")
+        if final:
+            break
+        large = left.join(size.where(F.col("x") > limit), ["band", "h"], "left_semi").select("band", "h", "last", "node")
         more = large.join(bands.select("node", F.col("band").alias("band2"), F.col("h").alias("h2")), "node").where("band2 > last")
         finer = more.select("node", F.xxhash64("band", "h").alias("band"), F.xxhash64("band", "h", "band2", "h2").alias("h"), F.col("band2").alias("last"))
         twice = finer.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

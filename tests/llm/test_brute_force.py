@@ -62,6 +62,28 @@ def test_classes(spark):
     assert got == {i: r for i, r in enumerate(root)}
 
 
+def test_star_of_copies(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=8))
+    texts = []
+    for size in (120, 40):
+        base = [word() for _ in range(304)]
+        texts.append(" ".join(base))
+        for _ in range(size):
+            t = list(base)
+            for i in rnd.sample(range(6, 298, 6), 6):
+                t[i] = word()
+            texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seqs = [neardup.kmers(h) for h in neardup.word_hashes(texts)]
+    assert all(neardup.similarity(seqs[0], x) >= 0.8 for x in seqs[:121]) and neardup.similarity(seqs[1], seqs[2]) < 0.8
+    nodes = {bytes(r.node): r.doc_id for r in neardup.nodes_of(df).join(df, "text").collect()}
+    for limit in (neardup.LIMIT, 8):  # one group a bucket; finer buckets and blocks
+        root = {nodes[bytes(r.node)]: bytes(r.root) for r in neardup.classes(df, limit=limit).collect()}
+        assert len(root) == len(texts) and len({root[i] for i in range(121)}) == len({root[i] for i in range(121, len(texts))}) == 1
+        assert root[0] != root[121]
+
+
 def test_alignment_against_table():
     rnd = random.Random(5)
     for _ in range(200):
