@@ -217,6 +217,13 @@ def test_batches_keep_budget(spark):
     assert len(partial) <= 4
 
 
+def test_one_huge_text_leaves_bounds_alone(spark):
+    docs = spark.range(1, 5002).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") > 5000, 1_000_000).otherwise(F.col("id")).cast("int")).alias("text"))
+    got = packing.pack(docs).agg(F.sum("padding"), F.max("bound"), F.count_distinct("bound")).first()
+    # the huge one alone, the others in eleven buckets as even as can be: 6 of 455 lengths, 5 of 454
+    assert tuple(got) == ((6 * 455 * 454 + 5 * 454 * 453) // 2, 1_000_000, 12)
+
+
 def test_licenses_inherit(spark):
     files = [
         (1, "p/LICENSE", "Released under the MIT License."), (2, "p/a/x.py", "code code"), (3, "p/a/LICENSE.txt", "This work is licensed under the GNU General Public License, version 3."), (4, "p/a/b/y.py", "other"),
