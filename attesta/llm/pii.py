@@ -2,10 +2,10 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by pattern over the whole text.
 The values of the base spans are the protected entities. For each entity e and each term t (word, folded to lower case)
-the corpus is asked in how many documents t stands within ``WINDOW`` words of e, in how many t and e
+the corpus is asked in how many documents t stands anywhere beside e, in how many t and e
 occur at all, and how strongly t reveals e: PMI(e; t) over the information IC(e) of e, 1 if t occurs only where e does.
-A term seen with e in at least ``SUPPORT`` different texts whose strength reaches ``STRENGTH`` discloses e; its occurrences beside e
-become spans of kind ``term`` (removed by ``sanitise`` as base spans are, generalised to the name of their kind).
+A term seen with e in at least ``SUPPORT`` different texts whose strength reaches ``STRENGTH`` discloses e; all its occurrences, in
+documents with e or without, become spans of kind ``term`` (removed by ``sanitise`` as base spans are, generalised to the name of their kind).
 
 Nulls: a null text is empty and has no spans. Repeated rows each get their spans. Empty tables give no rows.
 Patterns are written without backtracking over long runs, so very long texts cost time in proportion.
@@ -13,15 +13,13 @@ Patterns are written without backtracking over long runs, so very long texts cos
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, SUPPORT, STRENGTH = 4, 3, 0.9
-#: Characters on each side of a span in which its neighbours are sought; a word cut by this edge is left out.
-REACH = 160
+SUPPORT, STRENGTH = 3, 0.9
 
 # A match starts where no longer one could have started: not inside a run of the first class, unless the last match ended there.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -82,73 +80,66 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def _beside(text: Column, s: Column) -> Column:
-    """(start, end, term) of up to WINDOW words on each side of span ``s``."""
-    low = F.greatest(s["start"] - REACH, F.lit(0))
-    left = F.substring(text, low + 1, s["start"] - low)
-    right = F.substring(text, s["end"] + 1, F.lit(REACH))
-    whole = F.when(low > 0, F.regexp_replace(left, r"^[^\x20\x09-\x0D]+", "")).otherwise(left)
-    more = F.length(text) > s["end"] + REACH
-    kept = F.when(more, F.regexp_replace(right, r"[^\x20\x09-\x0D]+$", "")).otherwise(right)
-    return F.struct(whole.alias("left"), (s["start"] - F.length(whole)).alias("left_at"), kept.alias("right"), s["end"].alias("right_at"))
+def words_at(texts: DataFrame) -> DataFrame:
+    """row_key, start, end, term of every word; the places are sums of lengths, so a long text costs in proportion."""
+    parts = texts.select("row_key", F.posexplode(F.split("text", r"[\x20\x09-\x0D]")).alias("i", "part"))
+    before = Window.partitionBy("row_key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    at = parts.withColumn("start", F.coalesce(F.sum(F.length("part") + 1).over(before), F.lit(0)).cast("int")).where("part != ''")
+    return at.select("row_key", "start", (F.col("start") + F.length("part")).alias("end"), F.lower("part").alias("term"))
 
 
-def _tokens(piece: Column, at: Column, last: bool) -> Column:
-    """The words of ``piece``, which begins at offset ``at``: the last WINDOW or the first."""
-    parts = F.split(piece, r"[\x20\x09-\x0D]")
-    kind = "array<struct<start:int,end:int,term:string>>"
-    got = F.aggregate(
-        parts,
-        F.struct(at.cast("int").alias("pos"), F.array().cast(kind).alias("got")),
-        lambda a, p: F.struct(
-            (a["pos"] + F.length(p) + 1).alias("pos"),
-            F.when(p != "", F.array_append(a["got"], F.struct(a["pos"].alias("start"), (a["pos"] + F.length(p)).alias("end"), F.lower(p).alias("term")))).otherwise(a["got"]).alias("got"),
-        ),
-        lambda a: a["got"],
-    )
-    return F.slice(got, F.greatest(F.size(got) - WINDOW + 1, F.lit(1)), WINDOW) if last else F.slice(got, 1, WINDOW)
+def free(words: DataFrame, found: DataFrame) -> DataFrame:
+    """The words that touch no base span; others are not terms."""
+    touch = F.exists("base", lambda x: (x["start"] < F.col("end")) & (F.col("start") < x["end"]))
+    return words.join(found.select("row_key", "base"), "row_key", "left").where(~F.coalesce(touch, F.lit(False))).drop("base")
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """row_key, copies, entity, start, end, term: the words beside each base span. Words that touch a base span are not terms."""
-    at = found.select("row_key", "copies", "text", "base", F.explode("base").alias("s"))
-    at = at.select("row_key", "copies", "base", "s", _beside(F.col("text"), F.col("s")).alias("b"))
-    near = F.concat(_tokens(F.col("b.left"), F.col("b.left_at"), True), _tokens(F.col("b.right"), F.col("b.right_at"), False))
-    free = F.filter(near, lambda t: ~F.exists("base", lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])))
-    word = at.select("row_key", "copies", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(free).alias("t"))
-    return word.select("row_key", "copies", "entity", "t.start", "t.end", "t.term")
+def disclosing(plain: DataFrame, found: DataFrame, support: int, strength: float) -> DataFrame:
+    """The terms that disclose an entity, each once."""
+    entity = found.select("row_key", "copies", F.explode("base").alias("s")).select("row_key", "copies", F.concat_ws(":", "s.kind", "s.value").alias("entity")).distinct()
+    often = entity.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_entity")).where(F.col("texts") >= support)
+    held = cut(entity.join(often.select("entity", "n_entity"), "entity"))
+    texts = found.join(held.select("row_key").distinct(), "row_key", "left_semi")
+    term = cut(free(words_at(texts.select("row_key", "text")), texts).select("row_key", "term").distinct())
+    # In how many documents a term occurs: counts over the whole corpus, of the candidate terms alone.
+    candidates = term.groupBy("term").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).select("term")
+    seen = plain.select(F.explode(F.array_distinct(F.split(F.lower("text"), BLANK))).alias("term"))
+    seen = semi(seen, candidates, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n = F.lit(plain.count())
+    # no pair beyond this passes, as both <= n_entity; so common words meet no entity
+    most = F.col("n_entity") * F.pow(n / F.col("n_entity").cast("double"), F.lit(1 - strength)) * (1 + 1e-9)
+    pair = term.join(seen, "term").join(held, "row_key").where(F.col("n_term") <= most)
+    pair = pair.groupBy("entity", "term", "n_term", "n_entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both")).where(F.col("texts") >= support)
+    pmi = F.log(F.col("both") * n / (F.col("n_term") * F.col("n_entity")).cast("double"))
+    info = F.log(n / F.col("n_entity").cast("double"))
+    return pair.where((info > 0) & (pmi >= strength * info)).select("term").distinct()
 
 
 def detect(docs: DataFrame, support: int = SUPPORT, strength: float = STRENGTH) -> DataFrame:
-    """row_key (md5 of the text), base, terms: one row for each different text that has a base span."""
+    """row_key (md5 of the text), base, terms: one row for each different text that has a base span or a disclosing term."""
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(text.alias("text"), F.unhex(F.md5(text)).alias("row_key"))
     hit = plain.where(_may_hold(F.col("text"))).withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
-    # The texts with base spans, each once: a small part of the corpus, read three times below.
+    # The texts with base spans, each once: a small part of the corpus.
     found = cut(hit.groupBy("row_key").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count(F.lit(1)).alias("copies")))
-    near = cut(contexts(found))
-    pair = near.groupBy("entity", "term", "row_key").agg(F.first("copies").alias("copies")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both"))
-    pair = pair.where(F.col("texts") >= support)
-    # In how many documents a term occurs: counts over the whole corpus, of the candidate terms alone.
-    seen = plain.select(F.explode(F.array_distinct(F.split(F.lower("text"), BLANK))).alias("term"))
-    seen = term_rows(seen, pair.select("term").distinct()).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    entity = near.select("entity", "row_key", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    told = pair.join(seen, "term").join(entity, "entity").crossJoin(F.broadcast(plain.agg(F.count(F.lit(1)).alias("n"))))
-    pmi = F.log(F.col("both") * F.col("n") / (F.col("n_term") * F.col("n_entity")).cast("double"))
-    info = F.log(F.col("n") / F.col("n_entity").cast("double"))
-    told = told.where((info > 0) & (pmi >= strength * info)).select("entity", "term")
-    spans = near.join(told, ["entity", "term"]).groupBy("row_key").agg(F.collect_set(F.struct("start", F.lit(4).alias("k"), "end", F.lit("term").alias("kind"))).alias("terms"))
+    told = cut(disclosing(plain, found, support, strength))
+    # The texts that hold a disclosing term, with an entity or without; only their words get places.
+    told_in = semi(plain.select("row_key", F.explode(F.array_distinct(F.split(F.lower("text"), BLANK))).alias("term")), told, "term")
+    told_in = cut(told_in.select("row_key").distinct())
+    texts = semi(plain, told_in, "row_key").groupBy("row_key").agg(F.first("text").alias("text"))
+    spans = free(semi(words_at(texts), told, "term"), found)
+    spans = spans.groupBy("row_key").agg(F.collect_set(F.struct("start", F.lit(4).alias("k"), "end", F.lit("term").alias("kind"))).alias("terms"))
     base = F.transform("base", lambda s: F.struct(s["start"], s["k"], s["end"], s["kind"]))
-    return found.select("row_key", base.alias("base")).join(spans, "row_key", "left")
+    return found.select("row_key", base.alias("base")).join(spans, "row_key", "full")
 
 
-#: Most bytes of candidate terms that are broadcast; beyond, they are joined by shuffle, after counting.
-BROADCAST_TERMS = 200_000
+#: Most keys (terms, or md5 of texts) that are broadcast; beyond, they are joined by shuffle, after counting.
+BROADCAST_KEYS = 200_000
 
 
-def term_rows(seen: DataFrame, terms: DataFrame) -> DataFrame:
-    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    return seen.join(F.broadcast(terms) if small else terms, "term", "left_semi")
+def semi(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if small else keys, on, "left_semi")
 
 
 def _may_hold(text: Column) -> Column:
@@ -180,7 +171,7 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
         ),
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["pos"] + 1, F.length(text))),
     )
-    clean = F.when(F.col("base").isNull(), text).otherwise(put)
+    clean = F.when(F.col("base").isNull() & F.col("terms").isNull(), text).otherwise(put)
     cols = [clean.alias("text") if c == "text" else F.length(clean).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
     return got.select(*cols)
 

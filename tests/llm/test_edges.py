@@ -145,6 +145,19 @@ def test_disclosing_terms(spark):
     assert "[EMAIL]" in clean[0] and "[TERM]" in clean[0] and clean[10] == other[6]
 
 
+def test_disclosing_terms_far_off_and_alone(spark):
+    far = " ".join(f"plain{i}" for i in range(40))
+    told = [f"Zebra {far} é writes{i}  to bob@x.org or bob@x.org's {far} zebra\tand ZEBRA" for i in range(3)]
+    told += [f"zebra alone {far}", "nothing"] + [f"{far} text {i}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")
+    got = {r.doc_id: {told[r.doc_id][s.start : s.end] for s in r.terms or []} for r in pii.with_spans(df).select("row.doc_id", "terms").collect()}
+    count = {r.doc_id: len(r.terms or []) for r in pii.with_spans(df).select("row.doc_id", "terms").collect()}
+    assert all({"Zebra", "zebra", "ZEBRA"} <= got[i] and not {"writes0", "plain3", "bob@x.org's"} & got[i] for i in range(3))
+    assert got[3] == {"zebra"} and got[4] == got[5] == set() and count[3] == 1
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert not any("zebra" in t.lower() for t in clean.values()) and clean[3] == f"[TERM] alone {far}" and clean[5] == told[5]
+
+
 def test_mix_brute_force(spark):
     docs = [(i, " ".join(["w"] * (i % 17 + 1)), ["a", "b", None, "d"][i % 4]) for i in range(400)]
     got = mixing.mixed(spark.createDataFrame(docs, "doc_id long, text string, source string")).select("row.*", "size", "source_size", "target", "copies").collect()
