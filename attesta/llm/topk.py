@@ -58,45 +58,63 @@ class Bucket:
         return got[got < long_enough]
 
 
-def probe(ids, x, qids, y, k):
-    """Each query's best of one row block; products are of integers, in double where none can exceed 2**53."""
-    far = max(1.0, float(np.abs(x).max(initial=0))) * max(1.0, float(np.abs(y).max(initial=0))) * max(1, x.shape[1])
-    exact = x.astype(np.float64) if far < 2**53 else x if far < 2**63 else x.astype(object)
-    exact_q = y.astype(exact.dtype)
-    xf, yf = x.astype(np.float64), y.astype(np.float64)
-    size, length = np.sqrt((xf * xf).sum(axis=1)), np.sqrt((yf * yf).sum(axis=1))
-    order = np.argsort(-size, kind="stable")
-    buckets, at = [], 0
-    while at < len(order):
-        end = at + int(np.searchsorted(-size[order[at : at + BUCKET]], -RATIO * size[order[at]], side="right"))
-        buckets.append(Bucket(xf, size, order[at:end]))
-        at = end
-    for i in range(len(y)):
-        unit = yf[i] / max(length[i], 1e-300)
+class Buckets:
+    """The buckets of a row block, longest vectors first. Products are of integers, in double where none can exceed 2**53."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        self.far = max(1.0, float(np.abs(x).max(initial=0))) * max(1, x.shape[1])
+        self.exact = {}
+        xf = x.astype(np.float64)
+        size = np.sqrt((xf * xf).sum(axis=1))
+        order = np.argsort(-size, kind="stable")
+        self.buckets, at = [], 0
+        while at < len(order):
+            end = at + int(np.searchsorted(-size[order[at : at + BUCKET]], -RATIO * size[order[at]], side="right"))
+            self.buckets.append(Bucket(xf, size, order[at:end]))
+            at = end
+
+    def rows_for(self, q: np.ndarray) -> np.ndarray:
+        """The rows in a type in which products with ``q`` are exact."""
+        far = self.far * max(1.0, float(np.abs(q).max(initial=0)))
+        kind = np.float64 if far < 2**53 else np.int64 if far < 2**63 else object
+        if kind not in self.exact:
+            self.exact[kind] = self.x.astype(kind)
+        return self.exact[kind]
+
+    def __call__(self, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        exact = self.rows_for(q)
+        exact_q, qf = q.astype(exact.dtype), q.astype(np.float64)
+        length = float(np.sqrt((qf * qf).sum()))
+        unit = qf / max(length, 1e-300)
         focus = np.argsort(-np.abs(unit), kind="stable")[:FOCUS]
         hits, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=exact.dtype)
-        for b in buckets:
+        for b in self.buckets:
             need = float(scores[k - 1]) if len(scores) >= k else -np.inf
-            if need > 0 and length[i] * b.top * (1 + SLACK) < need:
+            if need > 0 and length * b.top * (1 + SLACK) < need:
                 break
-            left = b.left(unit, focus, float(length[i]), need)
+            left = b.left(unit, focus, length, need)
             rows = b.rows if left is None else b.rows[left]
-            rows = rows[ids[rows] != qids[i]]
+            rows = rows[self.ids[rows] != qid]
             if not len(rows):
                 continue
-            got = exact[rows] @ exact_q[i]
-            hits, scores = np.concatenate([hits, rows]), np.concatenate([scores, got])
-            order_ = np.argsort(hits, kind="stable")  # rows are in order of id, so ties go to the smaller id
-            hits, scores = hits[order_], scores[order_]
+            hits, scores = np.concatenate([hits, rows]), np.concatenate([scores, exact[rows] @ exact_q])
+            order = np.argsort(hits, kind="stable")  # rows are in order of id, so ties go to the smaller id
+            hits, scores = hits[order], scores[order]
             pick = best(scores, k) if scores.dtype != object else np.array(sorted(range(len(scores)), key=lambda j: -scores[j])[:k], dtype=np.int64)
             hits, scores = hits[pick], scores[pick]
-        yield i, hits, np.array([min(max(int(s), -(2**63)), 2**63 - 1) for s in scores], dtype=np.int64)
+        return hits, np.array([min(max(int(s), -(2**63)), 2**63 - 1) for s in scores], dtype=np.int64)
+
+
+def top(vectors, vec: str, query, k: int, **how):
+    """query_id, rank, vec_id, score of the ``k`` highest products of integers (``vec`` is an array of long); see ``blocks.search``."""
+    return search(vectors.select("vec_id", F.col(vec).alias("v"), query.alias("query")), "v", F.col("query"), k, "long", Buckets, **how)
 
 
 def op5_norm_buckets(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    rows = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(1024.0) * x.cast("double")).cast("long")).alias("v")).distinct()
-    return search(rows.where(F.col("vec_id") % 100 == 0), rows, "v", 10, "long", probe)
+    rows = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(1024.0) * x.cast("double")).cast("long")).alias("v"))
+    return top(rows, "v", F.col("vec_id") % 100 == 0, 10)
 
 
 OP5_SQL = """

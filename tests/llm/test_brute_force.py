@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from attesta.llm import ann, blocks, neardup, topk
+from attesta.llm import ann, neardup, topk
 
 
 def vectors():
@@ -15,27 +15,62 @@ def vectors():
     return np.concatenate([far, near, far[:5]]) * rng.uniform(0.3, 3, (4505, 1))
 
 
-def test_searches(spark):
-    x = vectors()
+def recall(spark, x, step, k=20, **how):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
     got = {}
-    for r in blocks.search(df.where("vec_id % 100 = 0"), df, "v", 20, "double", ann.probe, block_rows=2500).collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for r in ann.nearest(df, "v", F.col("vec_id") % step == 0, k, **how).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     hit = 0
-    for i in range(0, len(x), 100):
+    for i in range(0, len(x), step):
         s = x @ x[i]
         s[i] = -np.inf
-        hit += len(got[i] & set(np.argsort(-s)[:20].tolist()))
-    assert hit / (20 * len(got)) >= 0.9
+        hit += len({v for v, _ in got[i].values()} & set(np.argsort(-s)[:k].tolist()))
+        assert all(np.isclose(score, x[v] @ x[i]) and v != i for v, score in got[i].values())
+    return hit / (k * len(got))
+
+
+def test_collision_counting_of_mixed_lengths(spark):
+    assert recall(spark, vectors(), 100, numbers=60_000) >= 0.9
+
+
+def test_collision_counting_of_one_length(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((20_000, 32)) + 1.5 * rng.standard_normal((40, 32))[rng.integers(0, 40, 20_000)]
+    assert recall(spark, x / np.sqrt((x * x).sum(axis=1, keepdims=True)), 200) >= 0.9
+
+
+def test_collisions_are_counted_in_every_class(monkeypatch):
+    """No class is searched in another way: each query asks the sorted arrays of each class, small or large."""
+    calls = []
+    real = ann.Sorted.candidates
+    monkeypatch.setattr(ann.Sorted, "candidates", lambda self, at, many: calls.append((self.n, many)) or real(self, at, many))
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((700, 8))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    index = ann.Collisions(np.arange(700), x)
+    assert len(index.classes) == 1  # lengths of one up to rounding are one class
+    index(0, x[0], 3)
+    assert calls == [(700, ann.SPARE * 3 + 70)]
+    many = ann.Collisions(np.arange(700), x * np.repeat([1.0, 2.0, 5.0, 1e-200, 1e200], 140)[:, None])
+    calls.clear()
+    for q in (x[0], x[0] * 1e-200, x[0] * 1e300, np.r_[5e-324, np.zeros(7)]):
+        assert len(many(-1, q, 3)[0]) == 3
+    assert len(calls) == 4 * len(many.classes) == 20
+
+
+def test_exact_search(spark):
+    x = vectors()
     whole = np.floor(64 * x).astype(np.int64)
-    df = df.select("vec_id", F.transform("v", lambda c: F.floor(64 * c).cast("long")).alias("v"))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(whole)], "vec_id long, v array<long>")
     exact = {}
-    for r in blocks.search(df.where("vec_id % 100 = 0"), df, "v", 10, "long", topk.probe, block_rows=2500).collect():
+    for r in topk.top(df.union(df.where("vec_id < 30")), "v", F.col("vec_id") % 100 == 0, 10, numbers=60_000).collect():
         exact[(r.query_id, r.rank)] = (r.vec_id, r.score)
     for i in range(0, len(x), 100):
         s = whole @ whole[i]
         order = [j for j in np.lexsort((np.arange(len(x)), -s)).tolist() if j != i][:10]
         assert [exact[(i, k + 1)] for k in range(10)] == [(j, int(s[j])) for j in order]
+    big = topk.Buckets(np.arange(3), np.array([[2**62, 1], [2**62, 3], [-(2**62), 5]]))
+    assert big(-1, np.array([1, 1]), 2)[0].tolist() == [1, 0]
 
 
 def test_classes(spark):
