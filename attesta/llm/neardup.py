@@ -1,21 +1,25 @@
 """Near-duplicates by order MinHash, verified by banded alignment.
 
 A document is the sequence of its k-mers: runs of ``K`` words, folded to lower case; a text with fewer words is one k-mer of
-all of them. Each sketch takes the ``ELL`` k-mers, labelled with their number of occurrence, that a random order puts first,
-and keeps them in text order, so texts meet in a sketch with a probability that falls with edits and with
-reordering. The similarity that decides is that of the best alignment of the two sequences: aligned k-mers over all k-mers of both less
-the aligned. It equals the Jaccard similarity of the k-mers where order is the same. The band of the alignment is as wide as the threshold
-lets aligned k-mers drift apart, so nothing that would pass is missed.
-
-Equal texts are one node (md5 of the text). Texts that share a sketch form a bucket; its members are verified
-against its leader, the first of it in one of ``ORDERS`` random orders, so that a text meets several leaders; links are closed
+all of them. Each of ``SKETCHES`` sketches takes the ``ELL`` k-mers, labelled with their number of occurrence, that a random order puts
+first, and keeps them in text order, so texts meet in a sketch with a probability that falls with edits and with
+reordering. With few k-mers that probability is small and uneven, so texts of at most ``SHORT`` k-mers have sketches of one k-mer
+each (and those a little longer have both kinds, so that they meet either). The similarity that decides is that of the best alignment of the
+two sequences: aligned k-mers over all k-mers of both less the aligned. It equals the Jaccard similarity of the k-mers where
+order is the same. The band of the alignment is widened until it decides, at most to what the threshold lets aligned k-mers drift apart,
+so nothing that would pass is missed.
+
+Equal texts are one node (md5 of the text). Two texts are compared, or connected by others that were, if they share ``SHARED``
+sketches: pairs of similarity 0.8 fail to once in a million times, whatever the size of their buckets. Texts that share a sketch form a
+bucket; its members are verified against its leader, the first of it in one of ``ORDERS`` random orders; links are closed
 to components. Members of a bucket that are not in the component of their leader are then compared with all members, also those
 that joined it, where they lie; more than ``LIMIT`` members are compared in blocks. If more than ``LIMIT`` are outside, the bucket
-is first cut finer by one sketch more, as two texts must share ``SHARED`` sketches to be compared at all.
-So no task holds more than about ``LIMIT`` texts of a bucket, and no partner is capped.
+is first cut finer by the second of the shared sketches. So no task holds more than about ``LIMIT`` texts of a bucket, and no partner is capped.
 
 Nulls: a null text equals an empty one. Texts without words are alike only if equal. Repeated rows share a class.
 A class is named by its smallest doc_id (null if all are null). Empty tables give no rows. Long texts are read whole.
+Other columns of any name are ignored. Copies of a text are put together before the shuffle, so a text that a third of all rows
+hold is one row of the work; classes of more than ``HOT`` rows are joined back by broadcast.
 """
 
 from __future__ import annotations
@@ -29,11 +33,15 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop, table
 
-K, ELL, SKETCHES, THRESHOLD, ORDERS = 5, 4, 24, 0.8, 12
-#: Texts of a bucket that are compared in one task.
-LIMIT = 1024
-#: Sketches two of them must share to be compared there; texts of similarity 0.8 share fewer once in 15,000 times.
-SHARED = 2
+K, ELL, SKETCHES, THRESHOLD, ORDERS = 5, 3, 24, 0.8, 12
+#: K-mers up to which a text has sketches of one k-mer; to meet a text of so many at THRESHOLD, one can have a quarter more.
+SHORT = 32
+#: Texts of a bucket that are compared in one task, and sketches two of them share.
+LIMIT, SHARED = 1024, 2
+#: Rows of a key beyond which it is joined by broadcast: of n rows, at most n / HOT keys.
+HOT = 1_000_000
+#: Band that an alignment begins with, factor by which it widens, and places in a piece of its bit masks.
+BAND, WIDEN, CELL = 64, 8, 2048
 #: Members of one leader that are verified in one task's run; a leader with more is spread over several.
 SPREAD = 256
 CHUNK = 1 << 20
@@ -97,12 +105,12 @@ def label(seq: np.ndarray) -> np.ndarray:
     return np.where(nth > 0, _scramble(seq + nth * _U(0x9E3779B97F4A7C15)), seq)
 
 
-def sketch(seq: np.ndarray) -> np.ndarray:
-    """One hash per sketch: the ELL labelled k-mers that come first in its order, as they stand in the text."""
+def minima(seq: np.ndarray, ell: int) -> np.ndarray:
+    """One hash per sketch: the ``ell`` labelled k-mers that come first in its order, as they stand in the text."""
     h = (label(seq)[None, :] ^ _SALT) * _MUL
     h ^= h >> _U(29)
     rows = np.arange(SKETCHES)
-    picks = np.empty((SKETCHES, min(ELL, len(seq))), dtype=np.int64)
+    picks = np.empty((SKETCHES, min(ell, len(seq))), dtype=np.int64)
     for j in range(picks.shape[1]):
         picks[:, j] = h.argmin(axis=1)
         h[rows, picks[:, j]] = _MAX
@@ -114,8 +122,54 @@ def sketch(seq: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Most k-mers that can be aligned in order, none more than ``band`` places apart (longest common subsequence in the band)."""
+def sketch(seq: np.ndarray) -> np.ndarray:
+    """The sketches of one k-mer, then those of ELL; 0 for those a text of its length does not have."""
+    out = np.zeros(2 * SKETCHES, dtype=np.int64)
+    if len(seq) <= SHORT * 5 // 4:
+        out[:SKETCHES] = minima(seq, 1)
+    if len(seq) > SHORT:
+        out[SKETCHES:] = minima(seq, ELL)
+    return out
+
+
+def banded(a: list, b: list, band: int) -> int:
+    """Longest common subsequence of matches at most ``band`` places off the diagonal. Bit-parallel: the state of a row is one bit
+    for each place of the band, which slides with the row; bits that leave it are final. Time and memory are rows times band."""
+    where: dict[int, dict[int, int]] = {x: {} for x in a}
+    for j, x in enumerate(b):
+        cells = where.get(x)
+        if cells is not None:
+            cells[j // CELL] = cells.get(j // CELL, 0) | 1 << j % CELL
+    width, done, at, end = 2 * band + 1, 0, 0, (len(b) - 1) // CELL
+    full = (1 << width) - 1
+    v = full
+    for i, x in enumerate(a):
+        cells = where[x]
+        if not cells:
+            continue
+        step, at = i - at, i
+        if step >= width:
+            done, v = done + width - v.bit_count(), full
+        elif step:
+            low = (1 << step) - 1
+            done += step - (v & low).bit_count()
+            v = v >> step | low << width - step
+        first, m = i - band, 0
+        for c in range(max(first, 0) // CELL, min((i + band) // CELL, end) + 1):
+            got = cells.get(c)
+            if got:
+                off = c * CELL - first
+                m |= got << off if off >= 0 else got >> -off
+        u = v & m
+        if u:
+            v = ((v + u) | (v - u)) & full
+    return done + width - v.bit_count()
+
+
+def aligned(a: np.ndarray, b: np.ndarray, band: int, enough: int | None = None) -> int:
+    """Most k-mers that can be aligned in order, none more than ``band`` places apart; if ``enough`` is given, some number not below it
+    where there are as many, else some number below it. Narrower bands are tried first: an alignment that leaves no more k-mers alone than
+    its band is wide is the best of all."""
     n = min(len(a), len(b))
     diff = np.flatnonzero(a[:n] != b[:n])
     head = int(diff[0]) if len(diff) else n
@@ -126,36 +180,32 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     diff = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
     tail = int(diff[0]) if len(diff) else n
     a, b = a[: len(a) - tail], b[: len(b) - tail]
+    ends = head + tail
     if not len(a) or not len(b):
-        return head + tail
-    ua, ia = np.unique(a, return_index=True)
-    ub, ib = np.unique(b, return_index=True)
+        return ends
+    ua, ia, ca = np.unique(a, return_index=True, return_counts=True)
+    ub, ib, cb = np.unique(b, return_index=True, return_counts=True)
     _, xa, xb = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    common = int(np.minimum(ca[xa], cb[xb]).sum())
+    if not common or (enough is not None and ends + common < enough):
+        return ends + (0 if enough is None else common)
     if len(ua) == len(a) and len(ub) == len(b):
         pa, pb = ia[xa], ib[xb]
-        pb = pb[np.argsort(pa)]
-        if (np.diff(pb) > 0).all() and (np.abs(np.sort(pa) - pb) <= band).all():
-            return head + tail + len(pa)
-    elif not len(xa):
-        return head + tail
-    # Bit-parallel rows: one bit per place of b; a match counts only inside the band around the diagonal.
-    where: dict[int, int] = {}
-    for i, x in enumerate(b.tolist()):
-        where[x] = where.get(x, 0) | 1 << i
-    full = (1 << len(b)) - 1
-    v, window = full, (1 << 2 * band + 1) - 1
-    for i, x in enumerate(a.tolist()):
-        m = where.get(x)
-        if m is None:
-            continue
-        m &= window << i - band if i >= band else window >> band - i
-        u = v & m
-        v = ((v + u) | (v - u)) & full
-    return head + tail + len(b) - v.bit_count()
+        order = np.argsort(pa)
+        pa, pb = pa[order], pb[order]
+        if (np.diff(pb) > 0).all() and (np.abs(pa - pb) <= band).all():
+            return ends + common
+    a, b = a.tolist(), b.tolist()
+    now = min(band, BAND)
+    while True:
+        got = banded(a, b, now)
+        if now == band or len(a) + len(b) - 2 * got <= now or (enough is not None and ends + got >= enough):
+            return ends + got
+        now = min(band, now * WIDEN)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Aligned over all, exact if it reaches ``threshold``; else some number below."""
+    """Aligned over all: some number that reaches ``threshold`` if and only if that of the best alignment does."""
     n, m = len(a), len(b)
     if not n or not m:
         return float(n == m)
@@ -164,7 +214,7 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     if min(n, m) < need:
         return 0.0
     band = max(n, m) - need
-    got = aligned(a, b, band)
+    got = aligned(a, b, band, need)
     return got / (n + m - got)
 
 
@@ -250,7 +300,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _closer(threshold: float, depth: int):
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, nodes, roots, seqs, uniqs = None, [], [], [], []
-        sketches, sizes, sides = np.zeros((64, SKETCHES), dtype=np.int64), np.zeros(64, dtype=np.int64), np.zeros(64, dtype=np.int8)
+        sketches, sizes, sides = np.zeros((64, 2 * SKETCHES), dtype=np.int64), np.zeros(64, dtype=np.int64), np.zeros(64, dtype=np.int8)
         for pdf in batches:
             out = []
             rows = zip(_sequences(pdf["text"]), pdf["group"], pdf["last"], pdf["side"], pdf["node"], pdf["root"], pdf["sketch"], strict=True)
@@ -261,7 +311,7 @@ def _closer(threshold: float, depth: int):
                 if at == len(sizes):
                     sketches, sizes, sides = (np.concatenate([x, np.zeros_like(x)]) for x in (sketches, sizes, sides))
                 # of sides that meet, first met here, alike in SHARED sketches, of fitting length and not connected already
-                same = sketches[:at] == mine
+                same = (sketches[:at] == mine) & (mine != 0)
                 short, long_ = np.minimum(sizes[:at], n), np.maximum(sizes[:at], n)
                 meet = ((sides[:at] == 0) | (sides[:at] != side)) & (same[:, :last].sum(axis=1) == depth)
                 near = np.flatnonzero(meet & (same.sum(axis=1) >= SHARED) & (short >= threshold * long_))
@@ -317,38 +367,43 @@ def closed(left: DataFrame, texts: DataFrame, threshold: float, limit: int, dept
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, limit: int = LIMIT) -> DataFrame:
     """node, root of every different text of ``docs`` that has a near-duplicate; all other texts are their own root."""
-    nodes = nodes_of(docs)
+    nodes, made = nodes_of(docs), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.append(cut(df))
+        return made[-1]
+
     sketched = cut(nodes.mapInPandas(_sketches, "node binary, sketch array<long>").groupBy("node").agg(F.first("sketch").alias("sketch")))
-    band = sketched.select("node", F.posexplode("sketch").alias("band", "h"))
+    band = sketched.select("node", F.posexplode("sketch").alias("band", "h")).where("h <> 0")
     met = band.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bands = cut(band.join(met, ["band", "h"]).select("node", "band", "h"))
+    bands = keep(band.join(met, ["band", "h"]).select("node", "band", "h"))
     some = sketched.join(bands.select("node").distinct(), "node", "left_semi")
-    texts = cut(nodes.join(some, "node").groupBy("node").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch")))
+    # copies of a text become one before the shuffle; the join needs no other
+    texts = keep(nodes.groupBy("node").agg(F.first("text").alias("text")).join(some, "node"))
     drop(sketched)
     rest = bands.select("node", F.col("node").alias("root"), F.col("band").cast("long").alias("band"), "h", F.col("band").alias("last"))
     rank = F.struct(F.xxhash64("node", F.col("band") % ORDERS).alias("rank"), "node", "root")
     found, root = None, None
     for depth in range(SHARED):
         lead = rest.groupBy("band", "h").agg(F.min(rank).alias("lead")).select("band", "h", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"))
-        led = cut(rest.join(lead, ["band", "h"]).where("node != lead"))
+        led = keep(rest.join(lead, ["band", "h"]).where("node != lead"))
         open_ = led.where("root != lead_root")
         if not open_.limit(1).count():
             break
-        new = cut(links(open_.select("lead", "node").distinct(), texts, threshold))
+        new = keep(links(open_.select("lead", "node").distinct(), texts, threshold))
         found = new if found is None else found.unionByName(new)
-        root = cut(components(found.select(F.col("lead").alias("u"), F.col("node").alias("v"))))
+        root = keep(components(found.select(F.col("lead").alias("u"), F.col("node").alias("v"))))
         # what joined its leader's component is connected; the others have met the leader alone
         at = led.select("band", "h", "last", "node", "lead").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         led_root = root.select(F.col("node").alias("lead"), F.col("root").alias("lead_root"))
         at = at.join(led_root, "lead", "left").withColumn("out", F.col("root") != F.coalesce("lead_root", "lead"))
-        left = cut(at.select("band", "h", "last", "node", "root", "out"))
-        drop(led)
+        left = keep(at.select("band", "h", "last", "node", "root", "out"))
         size = left.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.count_if("out").alias("x")).where("n > 1 and x > 0")
         # a large rest is refined, by the sketches that two texts must share anyway; after that it is compared in blocks, however large
         final = depth == SHARED - 1
         small = left.join(size if final else size.where(F.col("x") <= limit), ["band", "h"])
-        found = found.unionByName(cut(closed(small, texts, threshold, limit, depth)))
-        root = cut(components(found.select(F.col("lead").alias("u"), F.col("node").alias("v"))))
+        found = found.unionByName(keep(closed(small, texts, threshold, limit, depth)))
+        root = keep(components(found.select(F.col("lead").alias("u"), F.col("node").alias("v"))))
         if final:
             break
         large = left.join(size.where(F.col("x") > limit), ["band", "h"], "left_semi").select("band", "h", "last", "node")
@@ -356,16 +411,31 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, limit: int = LIMIT) -
         finer = more.select("node", F.xxhash64("band", "h").alias("band"), F.xxhash64("band", "h", "band2", "h2").alias("h"), F.col("band2").alias("last"))
         twice = finer.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         finer = finer.join(twice, ["band", "h"], "left_semi")
-        rest = cut(finer.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "band", "h", "last"))
+        rest = keep(finer.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "band", "h", "last"))
+    for df in made:
+        if df is not root:
+            drop(df)
     return root if root is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
 
 
-def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, hot: int = HOT) -> DataFrame:
+    """Inner join with ``right``, which has each key once and says in ``n`` how many rows of ``left`` have it: those of more than ``hot`` are
+    broadcast, so that no task gets all the rows of a key."""
+    many = right.where(F.col(n) > hot)
+    if not many.limit(1).count():
+        return left.join(right, key)
+    few = left.join(F.broadcast(many.select(key)), key, "left_anti").join(right.where(F.col(n) <= hot), key)
+    return left.join(F.broadcast(many), key).unionByName(few)
+
+
+def labelled(docs: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """doc_id, node, root, class_id (smallest doc_id of the class) and class_size of each row; no text is shuffled for it."""
     narrow = docs.select("doc_id", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("node"))
-    full = narrow.join(classes(docs, threshold), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by = full.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return full.join(by, "root")
+    own = narrow.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    own = cut(own.join(classes(docs, threshold), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    by = cut(own.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts")))
+    own = cut(spread_join(own.select("node", "root", "copies"), by, "root", "texts", hot).drop("texts"))
+    return spread_join(narrow, own, "node", "copies", hot).drop("copies")
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,6 +1,7 @@
 """Searches and near-duplicates against brute force."""
 
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -119,15 +120,58 @@ def test_star_of_copies(spark):
         assert root[0] != root[121]
 
 
-def test_alignment_against_table():
+def table(a, b, band):
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a):
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(row[j + 1], new[-1], row[j] + 1 if x == y and abs(i - j) <= band else 0))
+        row = new
+    return row[-1]
+
+
+def test_alignment_against_table(monkeypatch):
     rnd = random.Random(5)
-    for _ in range(200):
-        a = np.array([rnd.randint(0, 6) for _ in range(rnd.randint(1, 14))], dtype=np.uint64)
-        b = np.array([rnd.randint(0, 6) for _ in range(rnd.randint(1, 14))], dtype=np.uint64)
-        row = [0] * (len(b) + 1)
-        for x in a:
-            new = [0]
-            for j, y in enumerate(b):
-                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
-            row = new
-        assert neardup.aligned(a, b, 99) == row[-1]
+    for cell in (2048, 4):
+        monkeypatch.setattr(neardup, "CELL", cell)
+        for _ in range(300):
+            a, b = ([rnd.randint(0, 6) for _ in range(rnd.randint(1, 24))] for _ in "ab")
+            for band in (0, 1, 3, 99):
+                assert neardup.banded(a, b, band) == table(a, b, band)
+            monkeypatch.setattr(neardup, "BAND", rnd.choice([1, 2, 64]))
+            x, y = np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
+            want = table(a, b, 99)
+            assert neardup.aligned(x, y, 99) == want
+            assert (neardup.aligned(x, y, 99, 5) >= 5) == (want >= 5)
+            assert (neardup.similarity(x, y, 0.5) >= 0.5) == (want / (len(a) + len(b) - want) >= 0.5)
+
+
+def test_long_texts_align_in_time():
+    rnd = random.Random(3)
+    words = [f"w{i % 997 % 100}" for i in range(200_000)]  # repetitive: no k-mer is unique
+    edited = list(words)
+    for i in rnd.sample(range(200_000), 4_000):
+        edited[i] = f"x{i}"
+    del edited[1000:1010]
+    a, b = (neardup.kmers(h) for h in neardup.word_hashes([" ".join(words), " ".join(edited)]))
+    began = time.time()
+    assert neardup.similarity(a, b) >= 0.8
+    assert time.time() - began < 6
+
+
+def test_short_texts_meet():
+    """Two texts of few k-mers at the threshold share two sketches and more."""
+    rnd = random.Random(6)
+    for n in (8, 9, 20, 36, 40, 44):
+        for _ in range(40):
+            base = [rnd.randint(0, 10**9) for _ in range(n)]
+            a, b = (neardup.sketch(np.array(x, dtype=np.uint64)) for x in (base, base + [rnd.randint(0, 10**9) for _ in range(n // 4)]))
+            assert ((a == b) & (a != 0)).sum() >= neardup.SHARED
+
+
+def test_hot_keys_are_joined_apart(spark):
+    texts = ["same words in all of them " * 3] * 20 + [f"other {i} " * 12 for i in range(5)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {tuple(r) for r in neardup.labelled(df).select("doc_id", "class_id", "class_size").collect()}
+    assert whole == {tuple(r) for r in neardup.labelled(df, hot=3).select("doc_id", "class_id", "class_size").collect()}
+    assert {(i, 0, 20) for i in range(20)} < whole and (25, 25, 1) in whole
