@@ -7,8 +7,9 @@ occur at all, and how strongly t reveals e: PMI(e; t) over the information IC(e)
 A term seen with e in at least ``SUPPORT`` different texts whose strength reaches ``STRENGTH`` discloses e; all its occurrences, in
 documents with e or without, become spans of kind ``term`` (removed by ``sanitise`` as base spans are, generalised to the name of their kind).
 
-Nulls: a null text is empty and has no spans. Repeated rows each get their spans. Empty tables give no rows.
-Patterns are written without backtracking over long runs, so very long texts cost time in proportion.
+Nulls: a null text is empty and has no spans. Repeated rows each get their spans. Empty tables give no rows. Other columns of any
+name pass through. Patterns are written without backtracking over long runs, and places are running sums over rows, so
+very long texts and texts of many spans cost time in proportion.
 """
 
 from __future__ import annotations
@@ -53,31 +54,40 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _found(text: Column, pattern: str, kind: str, order: int) -> Column:
-    """Array of (start, k, end, kind, value) of the valid matches: matches are set between two marks that the
-    text cannot hold, the text is split at the marks and lengths are summed up."""
+def _tests(text: Column) -> dict[str, tuple[str, Column]]:
+    """Pattern of each kind and a cheap test that holds wherever the pattern can match."""
+    return {"email": (EMAIL, F.contains(text, F.lit("@"))), "ip": (IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")), "card": (CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")), "phone": (PHONE, F.contains(text, F.lit("+")))}
+
+
+def pieces(text: Column) -> Column:
+    """Array of (k, parts): for each kind with a valid match the text cut at all matches, so that every second part is one. Matches
+    are set between two marks that the text cannot hold, and the text is split at the marks."""
     safe = F.translate(text, MARKS, "\ufffd\ufffd")
-    parts = F.split(F.regexp_replace(safe, f"({pattern})", f"{MARKS[0]}$1{MARKS[1]}"), f"[{MARKS}]")
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), F.array().cast("array<struct<start:int,k:int,end:int,kind:string,value:string>>").alias("got"))
-    return F.aggregate(
-        parts,
-        start,
-        lambda a, p: F.struct(
-            (a["pos"] + F.length(p)).alias("pos"),
-            (~a["hit"]).alias("hit"),
-            F.when(a["hit"] & _valid(kind, p), F.array_append(a["got"], F.struct(a["pos"].alias("start"), F.lit(order).alias("k"), (a["pos"] + F.length(p)).alias("end"), F.lit(kind).alias("kind"), p.alias("value")))).otherwise(a["got"]).alias("got"),
-        ),
-        lambda a: a["got"],
-    )
+    made = []
+    for i, (kind, (pattern, may)) in enumerate(_tests(text).items()):
+        parts = F.split(F.regexp_replace(safe, f"({pattern})", f"{MARKS[0]}$1{MARKS[1]}"), f"[{MARKS}]")
+        made.append(F.when(may, F.struct(F.lit(i).alias("k"), parts.alias("parts"))))
+    held = F.filter(F.array(*made), lambda x: x.isNotNull())
+    return F.filter(held, lambda x: F.exists(F.transform(x["parts"], lambda p, j: (j % 2 == 1) & _is(x["k"], p)), lambda hit: hit))
+
 
+def _is(k: Column, part: Column) -> Column:
+    """Whether a match of the kind with number ``k`` is valid."""
+    out = F.lit(True)
+    for i, kind in enumerate(KINDS[:4]):
+        out = F.when(k == i, _valid(kind, part)).otherwise(out)
+    return out
 
-def base_spans(text: Column) -> Column:
-    """Array of (start, k, end, kind, value) ordered by start, then kind as listed; offsets in code points."""
-    none = F.array().cast("array<struct<start:int,k:int,end:int,kind:string,value:string>>")
-    # each cheap test holds wherever its pattern can match
-    tests = {"email": (EMAIL, F.contains(text, F.lit("@"))), "ip": (IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")), "card": (CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")), "phone": (PHONE, F.contains(text, F.lit("+")))}
-    found = [F.when(may, _found(text, pattern, kind, i)).otherwise(none) for i, (kind, (pattern, may)) in enumerate(tests.items())]
-    return F.array_sort(F.concat(*found))
+
+def base_spans(cut_up: DataFrame) -> DataFrame:
+    """row_key, start, k, end, kind, value of every valid match; offsets in code points. ``cut_up`` has row_key and ``pieces``. Parts become rows
+    and their places running sums of lengths, so the spans of a text cost in proportion to it, however many they are."""
+    part = cut_up.select("row_key", F.explode("pieces").alias("x")).select("row_key", "x.k", F.posexplode("x.parts").alias("i", "value"))
+    before = Window.partitionBy("row_key", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("start", F.coalesce(F.sum(F.length("value")).over(before), F.lit(0)).cast("int")).where("i % 2 = 1")
+    part = part.where(_is(F.col("k"), F.col("value")))
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("k") + 1)
+    return part.select("row_key", "start", "k", (F.col("start") + F.length("value")).alias("end"), kind.alias("kind"), "value")
 
 
 def words_at(texts: DataFrame) -> DataFrame:
@@ -88,23 +98,27 @@ def words_at(texts: DataFrame) -> DataFrame:
     return at.select("row_key", "start", (F.col("start") + F.length("part")).alias("end"), F.lower("part").alias("term"))
 
 
-def free(words: DataFrame, found: DataFrame) -> DataFrame:
-    """The words that touch no base span; others are not terms."""
-    touch = F.exists("base", lambda x: (x["start"] < F.col("end")) & (F.col("start") < x["end"]))
-    return words.join(found.select("row_key", "base"), "row_key", "left").where(~F.coalesce(touch, F.lit(False))).drop("base")
+def free(words: DataFrame, spans: DataFrame) -> DataFrame:
+    """The words that touch no base span; others are not terms. One pass in order of place: a word touches a span if the furthest
+    end of those that begin before the word ends lies behind the word's start."""
+    both = words.select("row_key", "start", "end", "term", (F.col("end") - 1).alias("at"), F.lit(None).cast("int").alias("reach"))
+    both = both.unionByName(spans.select("row_key", "start", "end", F.lit(None).cast("string").alias("term"), F.col("start").alias("at"), F.col("end").alias("reach")))
+    far = F.max("reach").over(Window.partitionBy("row_key").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("far", far).where("term is not null and (far is null or far <= start)").select("row_key", "start", "end", "term")
 
 
-def disclosing(plain: DataFrame, found: DataFrame, support: int, strength: float) -> DataFrame:
-    """The terms that disclose an entity, each once."""
-    entity = found.select("row_key", "copies", F.explode("base").alias("s")).select("row_key", "copies", F.concat_ws(":", "s.kind", "s.value").alias("entity")).distinct()
+def disclosing(plain: DataFrame, found: DataFrame, spans: DataFrame, support: int, strength: float) -> DataFrame:
+    """The terms that disclose an entity, each once. Counts are of documents: copies of a text count as often as they come."""
+    entity = spans.select("row_key", F.concat_ws(":", "kind", "value").alias("entity")).distinct().join(found.select("row_key", "copies"), "row_key")
     often = entity.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_entity")).where(F.col("texts") >= support)
     held = cut(entity.join(often.select("entity", "n_entity"), "entity"))
-    texts = found.join(held.select("row_key").distinct(), "row_key", "left_semi")
-    term = cut(free(words_at(texts.select("row_key", "text")), texts).select("row_key", "term").distinct())
+    some = held.select("row_key").distinct()
+    texts = found.join(some, "row_key", "left_semi")
+    term = cut(free(words_at(texts), spans.join(some, "row_key", "left_semi")).select("row_key", "term").distinct())
     # In how many documents a term occurs: counts over the whole corpus, of the candidate terms alone.
     candidates = term.groupBy("term").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).select("term")
     seen = plain.select(F.explode(F.array_distinct(F.split(F.lower("text"), BLANK))).alias("term"))
-    seen = semi(seen, candidates, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    seen = semi(seen, cut(candidates), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     n = F.lit(plain.count())
     # no pair beyond this passes, as both <= n_entity; so common words meet no entity
     most = F.col("n_entity") * F.pow(n / F.col("n_entity").cast("double"), F.lit(1 - strength)) * (1 + 1e-9)
@@ -115,76 +129,104 @@ def disclosing(plain: DataFrame, found: DataFrame, support: int, strength: float
     return pair.where((info > 0) & (pmi >= strength * info)).select("term").distinct()
 
 
-def detect(docs: DataFrame, support: int = SUPPORT, strength: float = STRENGTH) -> DataFrame:
-    """row_key (md5 of the text), base, terms: one row for each different text that has a base span or a disclosing term."""
+def detect(docs: DataFrame, support: int = SUPPORT, strength: float = STRENGTH) -> tuple[DataFrame, DataFrame]:
+    """(row_key (md5 of the text), start, k, end, kind of every span of every different text; row_key, text of the texts with spans)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(text.alias("text"), F.unhex(F.md5(text)).alias("row_key"))
-    hit = plain.where(_may_hold(F.col("text"))).withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
+    hit = plain.where(_may_hold(F.col("text"))).withColumn("pieces", pieces(F.col("text"))).where(F.size("pieces") > 0)
     # The texts with base spans, each once: a small part of the corpus.
-    found = cut(hit.groupBy("row_key").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count(F.lit(1)).alias("copies")))
-    told = cut(disclosing(plain, found, support, strength))
+    found = cut(hit.groupBy("row_key").agg(F.first("text").alias("text"), F.first("pieces").alias("pieces"), F.count(F.lit(1)).alias("copies")))
+    base = cut(base_spans(found))
+    told = cut(disclosing(plain, found.select("row_key", "text", "copies"), base, support, strength))
     # The texts that hold a disclosing term, with an entity or without; only their words get places.
     told_in = semi(plain.select("row_key", F.explode(F.array_distinct(F.split(F.lower("text"), BLANK))).alias("term")), told, "term")
     told_in = cut(told_in.select("row_key").distinct())
-    texts = semi(plain, told_in, "row_key").groupBy("row_key").agg(F.first("text").alias("text"))
-    spans = free(semi(words_at(texts), told, "term"), found)
-    spans = spans.groupBy("row_key").agg(F.collect_set(F.struct("start", F.lit(4).alias("k"), "end", F.lit("term").alias("kind"))).alias("terms"))
-    base = F.transform("base", lambda s: F.struct(s["start"], s["k"], s["end"], s["kind"]))
-    return found.select("row_key", base.alias("base")).join(spans, "row_key", "full")
+    texts = cut(semi(plain, told_in, "row_key").groupBy("row_key").agg(F.first("text").alias("text")))
+    terms = free(semi(words_at(texts), told, "term"), base.join(told_in, "row_key", "left_semi"))
+    spans = base.select("row_key", "start", "k", "end", "kind").unionByName(terms.select("row_key", "start", F.lit(4).alias("k"), "end", F.lit("term").alias("kind")))
+    every = found.select("row_key", "text").unionByName(texts.join(found, "row_key", "left_anti").select("row_key", "text"))
+    return cut(spans), every
 
 
-#: Most keys (terms, or md5 of texts) that are broadcast; beyond, they are joined by shuffle, after counting.
-BROADCAST_KEYS = 200_000
+#: Bytes of keys (terms, or md5 of texts) up to which they are broadcast; beyond, they are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def semi(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return rows.join(F.broadcast(keys) if small else keys, on, "left_semi")
+    """The rows with one of ``keys`` (a table that is written), whose size is asked first."""
+    size = keys.agg(F.coalesce(F.sum(F.octet_length(on) + 32), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(keys) if size <= BROADCAST_BYTES else keys, on, "left_semi")
 
 
 def _may_hold(text: Column) -> Column:
     return F.contains(text, F.lit("@")) | F.contains(text, F.lit("+")) | text.rlike(r"[0-9](?:[\x20.-]?[0-9]){3}")
 
 
+_SPANS = "array<struct<start:int,k:int,end:int,kind:string>>"
+
+
 def with_spans(docs: DataFrame, **how) -> DataFrame:
-    """row (struct of the document), base and terms; every row of ``docs`` is kept."""
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("row_key"))
-    return keyed.join(detect(docs, **how), "row_key", "left")
+    """row (struct of the document) and spans (ordered by start, then kind), empty without; every row of ``docs`` is kept."""
+    spans, _ = detect(docs, **how)
+    by = spans.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "k", "end", "kind"))).alias("spans"))
+    return _keyed(docs).join(by, "row_key", "left").select("row", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("row_key"))
 
 
 def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def sanitise(docs: DataFrame, **how) -> DataFrame:
-    """The documents with every span replaced by the name of its kind in brackets; overlapping spans become one."""
-    got = with_spans(docs, **how)
-    none = F.array().cast("array<struct<start:int,k:int,end:int,kind:string>>")
-    spans = F.array_sort(F.concat(F.coalesce("base", none), F.coalesce("terms", none)))
-    text = F.col("row.text")
+#: Code points of a block in which spans are replaced.
+BLOCK = 1024
+
+
+def replaced(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """row_key, clean: the texts with every span replaced by the name of its kind in brackets; overlapping spans become one, named by the
+    first. A text is cut into blocks and a span into its parts in each, so that nothing is sought from the start of a long text."""
+    order = Window.partitionBy("row_key").orderBy("start", "k", "end")
+    far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    span = spans.withColumn("far", F.coalesce(far, F.lit(0)))
+    # what an earlier span covers is gone already; only a span that begins outside shows its name
+    span = span.where("end > far").withColumn("name", F.when(F.col("start") >= F.col("far"), F.concat(F.lit("["), F.upper("kind"), F.lit("]"))).otherwise(""))
+    span = span.withColumn("start", F.greatest("start", "far"))
+    part = span.select("row_key", "start", "end", "name", F.explode(F.expr(f"sequence(cast(start div {BLOCK} as int), cast((end - 1) div {BLOCK} as int))")).alias("block"))
+    first = F.col("start") >= F.col("block") * BLOCK
+    part = part.select("row_key", "block", F.struct(
+        F.when(first, F.col("start") - F.col("block") * BLOCK).otherwise(0).cast("int").alias("a"), F.least(F.col("end") - F.col("block") * BLOCK, F.lit(BLOCK)).cast("int").alias("b"), F.when(first, F.col("name")).otherwise("").alias("name")
+    ).alias("s"))
+    part = part.groupBy("row_key", "block").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    block = texts.select("row_key", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("block", "raw"))
+    got = block.join(part, ["row_key", "block"], "left")
     put = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["pos"], s["end"]).alias("pos"),
-            F.when(s["start"] >= a["pos"], F.concat(a["out"], F.array(F.substring(text, a["pos"] + 1, s["start"] - a["pos"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["pos"] + 1, F.length(text))),
+        F.coalesce("s", F.array().cast("array<struct<a:int,b:int,name:string>>")),
+        F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
+        lambda a, s: F.struct(s["b"].alias("pos"), F.concat(a["out"], F.substring("raw", a["pos"] + 1, s["a"] - a["pos"]), s["name"]).alias("out")),
+        lambda a: F.concat(a["out"], F.substring("raw", a["pos"] + 1, F.lit(BLOCK))),
     )
-    clean = F.when(F.col("base").isNull() & F.col("terms").isNull(), text).otherwise(put)
-    cols = [clean.alias("text") if c == "text" else F.length(clean).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    got = got.select("row_key", F.struct("block", put.alias("clean")).alias("x"))
+    return got.groupBy("row_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["clean"]), "").alias("clean"))
+
+
+def sanitise(docs: DataFrame, **how) -> DataFrame:
+    """The documents with every span replaced by the name of its kind in brackets; the columns of documents, ``n_chars`` counted again."""
+    spans, texts = detect(docs, **how)
+    by = cut(replaced(texts, spans))
+    text = F.coalesce("clean", F.col("row.text"))
+    got = _keyed(docs).join(by, "row_key", "left")
+    cols = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
     return got.select(*cols)
 
 
 def op10_disclosure(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    none = F.array().cast("array<struct<start:int,k:int,end:int,kind:string>>")
-    keyed = docs.select("doc_id", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("row_key"))
-    got = keyed.join(detect(docs), "row_key", "left").withColumns({"base": F.coalesce("base", none), "terms": F.coalesce("terms", none)})
+    got = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
+    base = F.filter("spans", lambda s: s["kind"] != "term")
     counts = [count(kind) for kind in KINDS[:4]]
-    n_term = F.size("terms").cast("long").alias("n_term")
-    return got.select("doc_id", *counts, F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"), _text_of(F.array_sort(F.concat("base", "terms"))).alias("spans"), n_term)
+    return got.select(F.col("row.doc_id").alias("doc_id"), *counts, F.sha2(_text_of(base), 256).alias("base_sha256"), _text_of(F.col("spans")).alias("spans"), count("term"))
