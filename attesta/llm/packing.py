@@ -8,7 +8,7 @@ to the token budget; a document longer than the budget is a batch of its own, wh
 The histogram has one row per length and reaches the driver whole and exact: m different lengths take at least m * (m - 1) / 2 words
 of text, so there are fewer than 175,000 in 30 GB of text. A round of the programme is m log m in NumPy. Numbering adds a row's place in its (bucket, cell) to the rows of earlier cells: no task
 sorts a whole bucket. Nulls: a null text has length 0 (bucket of the shortest); repeated rows are packed as often as they
-come; an empty table gives no rows. The text itself is never shuffled.
+come; an empty table gives no rows; other columns of any name are ignored. The text itself is never shuffled.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash32, table, words
+from .common import cut, hash32, table, words
 
-BUCKETS, BUDGET, CELLS = 12, 8192, 64
+BUCKETS, BUDGET = 12, 8192
+#: Rows of a cell of a bucket, of which one task numbers some; and its fewest cells.
+CELL_ROWS, CELLS = 200_000, 64
 #: More than any padding; twice as much still fits 64 bits.
 _MUCH = 1 << 62
 
@@ -69,18 +71,21 @@ def bounds(lengths: np.ndarray, n: np.ndarray, buckets: int = BUCKETS) -> list[i
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, tokens, bucket (from 0), bound, batch (in the bucket), place (in the batch), padding of each row."""
-    rows = docs.select("doc_id", words(F.col("text")).alias("tokens")).withColumn("cell", (hash32(F.col("doc_id"), "pack") % CELLS).cast("int"))
+    # the words of a text are counted once: what follows reads ids and counts
+    rows = cut(docs.select("doc_id", words(F.col("text")).alias("tokens")))
     sizes = rows.groupBy(F.col("tokens").alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy("length").toPandas()
+    cells = max(CELLS, int(sizes["n"].sum()) // CELL_ROWS)
+    rows = rows.withColumn("cell", (hash32(F.col("doc_id"), "pack") % cells).cast("int"))
     tops = bounds(sizes["length"].to_numpy(dtype=np.int64), sizes["n"].to_numpy(dtype=np.int64), buckets) or [0]
     place = F.lit(len(tops) - 1)
     for i in range(len(tops) - 2, -1, -1):
         place = F.when(F.col("tokens") <= tops[i], i).otherwise(place)
     rows = rows.withColumn("bucket", place).withColumn("bound", F.get(F.array(*[F.lit(t).cast("long") for t in tops]), F.col("bucket")))
-    cells = rows.groupBy("bucket", "cell").agg(F.count(F.lit(1)).alias("n"))
+    each_cell = rows.groupBy("bucket", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select("bucket", "cell", before.alias("before"))  # buckets x CELLS rows
+    each_cell = each_cell.select("bucket", "cell", before.alias("before"))  # a row for about CELL_ROWS documents
     at = F.row_number().over(Window.partitionBy("bucket", "cell").orderBy("doc_id", "tokens"))
-    out = rows.withColumn("at", at).join(F.broadcast(cells), ["bucket", "cell"]).withColumn("number", F.col("before") + F.col("at") - 1)
+    out = rows.withColumn("at", at).join(F.broadcast(each_cell), ["bucket", "cell"]).withColumn("number", F.col("before") + F.col("at") - 1)
     each = F.greatest(F.lit(1), F.floor(budget / F.greatest("bound", F.lit(1)))).cast("long")
     return out.select(
         "doc_id", "tokens", "bucket", "bound", F.floor(F.col("number") / each).alias("batch"), (F.col("number") % each).alias("place"), (F.col("bound") - F.col("tokens")).alias("padding")
