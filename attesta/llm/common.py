@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.operators.tables import cut, drop, shared_dir
+
+__all__ = ["WORD", "cut", "drop", "hash32", "shared_dir", "table", "words"]
+
 #: Words are runs of anything but the six ASCII blanks.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -16,32 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="attesta-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, so that later steps start from
-    replicated files and not from lineage. Survives lost executors; the caller may ``drop`` it."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._cut_path = path
-    return back
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table made by ``cut`` that no later step reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)).cast("long"), F.lit(0).cast("long"))

@@ -3,14 +3,17 @@
 A text is taken as a mixture of languages. The model holds smoothed likelihoods of hashed letter n-grams (runs of
 one to three letters, word edges count) per language. For each text expectation-maximisation estimates the proportions
 of the languages from the likelihoods of its n-grams; then among the nested sets of the most probable languages the one with
-the best penalised likelihood is kept, and the proportions are estimated again inside it. The prediction is
-the language with the largest proportion (ties: first by name) and the score is that proportion.
+the best penalised likelihood is kept, and the proportions are estimated again inside it. Sets grow while a larger one can still win: no set
+is likelier than all languages together at their best proportions, and how much likelier than the ones found those can be follows from
+the gradient. The prediction is the language with the largest proportion (ties: first by name) and the score is that proportion.
 
-Fit: n-gram counts of at most ``PER_LANG`` labelled training texts per language, taken by a hash of the id; the counts are
-summed by Spark, and only languages x buckets numbers reach the driver.
+Fit: n-gram counts of at most about ``PER_LANG`` labelled training texts per language, taken by a hash of the id; the counts are
+summed by Spark, and only languages x buckets numbers reach the driver. Every language is learned; the model is broadcast, so more
+than ``MAX_LANGS`` different values of lang, which no corpus of languages has, are refused by an error and not left out.
 
 Nulls: a null text, and one without a letter, is ``und`` with score 0; a null lang or an empty table trains nothing; without any
-training text all is ``und``. Repeated rows each get their row. Long texts are read whole, in chunks of bounded size.
+training text all is ``und``. Repeated rows each get their row. Long texts are read whole, in chunks of bounded size. Other columns of
+any name pass through.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Bound of the fit: labelled texts per language. Languages seen beyond MAX_LANGS, by count, are not learned.
-PER_LANG, MAX_LANGS = 1500, 200
+#: Bounds of the fit: labelled texts per language, and languages (a model of 2^BITS numbers each).
+PER_LANG, MAX_LANGS = 1500, 2000
 BITS = 13
 #: Pseudo-count of each bucket, iterations, and penalty in nats per further language, times the log of the number of n-grams.
 ALPHA, ROUNDS, PENALTY = 0.5, 12, 2.0
@@ -88,7 +91,9 @@ def pieces(text: str) -> list[str]:
 def fit(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
     """Languages in order of name, and buckets x languages likelihoods. ``docs`` has text, lang and doc_id and holds only rows to learn from."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", F.crc32(F.concat(F.lit("fit"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("draw"))
-    many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
+    if len(many) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     if not many:
         return [], np.zeros((1 << BITS, 0))
     langs = sorted(many)
@@ -114,14 +119,17 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -
 
 
 def _em(p: np.ndarray, n: np.ndarray, first: np.ndarray, owner: np.ndarray, total: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log likelihood of each text. p: likelihoods of its entries, n: their counts; allowed: texts x languages."""
+    """Proportions of each text, their log likelihood, and a number that no proportions of the ``allowed`` languages (texts x languages)
+    exceed. p: likelihoods of its entries, n: their counts. The log likelihood is concave, so its gradient bounds what is left to gain."""
     pi = allowed / allowed.sum(axis=1, keepdims=True)
     for _ in range(rounds):
         mix = p * pi[owner]
         mix *= (n / mix.sum(axis=1))[:, None]
         pi = np.add.reduceat(mix, first, axis=0) / total[:, None]
     mix = np.einsum("ij,ij->i", p, pi[owner])
-    return pi, np.add.reduceat(n * np.log(mix), first)
+    like = np.add.reduceat(n * np.log(mix), first)
+    slope = np.add.reduceat(p * (n / mix)[:, None], first, axis=0)
+    return pi, like, like + np.maximum(0.0, np.where(allowed > 0, slope, 0.0).max(axis=1) - total)
 
 
 def infer(tally: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,24 +148,24 @@ def infer(tally: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if langs == 1:
         return out, size
     cost = PENALTY * np.log(total + 1)
-    # No set of languages is likelier than all of them together: texts that gain too little from all keep one.
-    pi, most = _em(p, n, first, owner, total, np.ones((texts, langs)), ROUNDS)
-    open_ = np.flatnonzero(most - score > cost)
-    if not len(open_):
-        return out, size
-    inside = np.isin(owner, open_)
-    o2 = np.searchsorted(open_, owner[inside])
-    p2, n2 = p[inside], n[inside]
-    f2 = np.flatnonzero(np.r_[True, o2[1:] != o2[:-1]])
-    order = np.argsort(-pi[open_], axis=1, kind="stable")
-    for k in range(2, min(langs, 6) + 1):
+    # no set of languages is likelier than all of them together: texts that gain too little from all keep one
+    pi, _, most = _em(p, n, first, owner, total, np.ones((texts, langs)), ROUNDS)
+    order = np.argsort(-pi, axis=1, kind="stable")
+    k = 2
+    while k <= langs:
+        open_ = np.flatnonzero(most - (k - 1) * cost > score)
+        if not len(open_):
+            break
+        inside = np.isin(owner, open_)
+        o = np.searchsorted(open_, owner[inside])
         allowed = np.zeros((len(open_), langs))
-        np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-        pk, ll = _em(p2, n2, f2, o2, total[open_], allowed, ROUNDS)
+        np.put_along_axis(allowed, order[open_, :k], 1.0, axis=1)
+        pk, ll, _ = _em(p[inside], n[inside], np.flatnonzero(np.r_[True, o[1:] != o[:-1]]), o, total[open_], allowed, ROUNDS)
         gain = ll - (k - 1) * cost[open_]
         better = gain > score[open_]
         rows = open_[better]
         out[rows], size[rows], score[rows] = pk[better], k, gain[better]
+        k += 1
     return out, size
 
 

@@ -1,16 +1,17 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance along paths.
 
-Units of comparison are the lines of a file (headers) and, for files not much longer than the longest template, the whole file
-(licence files). Terms are runs of ASCII letters and digits, lower case, weighted tf * idf, with idf = ln((N + 1) / (df + 1)) + 1 over all N
+Units of comparison are the lines of a file and runs of 2, 4 and 8 lines (headers), and the whole file, of any length (licence
+files). Terms are runs of ASCII letters and digits, lower case, weighted tf * idf, with idf = ln((N + 1) / (df + 1)) + 1 over all N
 files. A unit whose cosine to a template reaches ``threshold`` carries that licence; a file carries that of its best unit (ties: first name).
 A file is a licence file if its name says so or if units that carry a licence hold at least half of its words.
 A file without a licence of its own inherits that of the licence files in the nearest ancestor directory that has one
 (best cosine, then first name).
 
 Only units with an anchor term are scored: a template's anchors are its heaviest terms, so many that what is left of it
-cannot reach the threshold alone; so the filter loses nothing. Template vocabulary and anchors are bounded by the templates; they
-reach the driver and are broadcast. Nulls: a null text has no licence of its own; a null path has no directory.
-Repeated rows keep their rows: files are told apart by path and text. Empty tables give no rows.
+cannot reach the threshold alone; so the filter loses nothing. Runs of lines are laid out only around lines with an anchor. Template vocabulary
+and anchors are bounded by the templates; they reach the driver and are broadcast. Nulls: a null text has no licence of its own; a null
+path has no directory. Repeated rows keep their rows: files are told apart by path and text. Empty tables give no rows. Other columns of
+any name are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,15 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 THRESHOLD = 0.6
+#: Lines of a run.
+RUNS = (2, 4, 8)
+
+
+def bag(counts: str) -> str:
+    """A text as its terms in order of name, ``term*n`` for one that comes n times; the order of terms does not matter here."""
+    return " ".join(t for x in counts.split() for t in [x.split("*")[0]] * int((x.split("*") + ["1"])[1]))
+
+
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
@@ -36,6 +46,9 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("proprietary", "All rights reserved."),
+    # full texts
+    ("MIT", bag("a*2 above action all an and*5 any*3 arising as associated authors be*2 but charge claim conditions connection contract copies*2 copy*2 copyright*2 damages deal dealings distribute do documentation event express files fitness following for*2 free from furnished granted hereby holders implied in*6 included including*2 is*4 kind liability liable limitation limited merchantability merge modify no noninfringement not notice*2 obtaining of*8 or*9 other*2 otherwise out particular permission*2 permit person persons portions provided publish purpose restriction rights sell shall*2 so software*9 subject sublicense substantial the*14 this*2 to*8 tort use*2 warranties warranty whether whom with without*3")),
+    ("BSD-3-Clause", bag("1 2 3 a above*2 advised and*9 any*4 are*3 arising as be*2 binary*2 business but*2 by caused code conditions*3 consequential contract contributors*3 copyright*5 damage damages data derived direct disclaimed disclaimer*2 distribution documentation endorse even event exemplary express fitness following*3 for*2 form forms from goods holder*2 holders however if implied*2 in*6 incidental including*3 indirect interruption is*2 its liability*2 liable limited*2 list*2 loss materials may merchantability met modification must*2 name names negligence neither no nor not*2 notice*2 of*13 on or*11 other otherwise out particular permission permitted possibility prior procurement products profits promote provided*3 purpose redistribution redistributions*2 reproduce retain services shall software*3 source*2 special specific strict substitute such that the*15 theory this*5 to*3 tort use*3 used warranties*2 way whether with*2 without*2 written")),
 )
 
 
@@ -66,27 +79,42 @@ def anchors(vecs: DataFrame, threshold: float) -> list[str]:
     return sorted({r["term"] for r in rest.where(F.col("upto") >= threshold * threshold - 1e-9).select("term").distinct().collect()})
 
 
+def units(text: Column, look: str) -> Column:
+    """Array of (start, lines, line): the whole text (start and lines 0), each line with a match of ``look``, and each run of lines that
+    holds such a line."""
+    every = F.split(text, "\n")
+    kind = "array<struct<start:int,lines:int,line:string>>"
+    hit = F.filter(F.transform(every, lambda s, i: F.when(F.lower(s).rlike(look), i)), lambda i: i.isNotNull())
+    made = [F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("lines"), text.alias("line"))).cast(kind)]
+    for n in (1, *RUNS):
+        start = F.array_distinct(F.flatten(F.transform(hit, lambda i: F.sequence(F.greatest(i - (n - 1), F.lit(0)), F.least(i, F.greatest(F.size(every) - n, F.lit(0)))))))
+        if n > 1:
+            start = F.when(F.size(every) >= n, start).otherwise(F.array().cast("array<int>"))
+        made.append(F.transform(start, lambda i: F.struct(i.alias("start"), F.lit(n).alias("lines"), F.array_join(F.slice(every, i + 1, n), "\n").alias("line"))).cast(kind))
+    return F.concat(*made)
+
+
 def matches(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """file (key), n_file (its terms), unit (-1: the whole file), n_terms, license, score of the units that carry a licence. ``files``
+    """file (key), n_file (its terms), start, lines (0: the whole file), n_terms, license, score of the units that carry a licence. ``files``
     has file and text."""
     vecs, idf, n = vectors(files, templates)
     vecs, idf = cut(vecs), cut(idf)
-    keys = F.array(*[F.lit(t) for t in anchors(vecs, threshold)])
-    longest = 3 * max(len(text) for _, text in templates)
-    whole = F.when(F.length("text") <= longest, F.array(F.struct(F.lit(-1).alias("unit"), F.col("text").alias("line"))))
-    lines = F.transform(F.split("text", "\n"), lambda s, i: F.struct(i.alias("unit"), s.alias("line")))
-    kind = "array<struct<unit:int,line:string>>"
+    found = anchors(vecs, threshold)
+    keys = F.array(*[F.lit(t) for t in found])
     # a quick look for anchors in the raw line spares most lines the cut into terms
-    look = "|".join(t for t in sorted(anchors(vecs, threshold), key=lambda t: (len(t), t)))
-    unit = files.where(F.lower("text").rlike(look)).select("file", F.size(terms(F.col("text"))).alias("n_file"), F.explode(F.concat(F.coalesce(whole, F.array().cast(kind)), lines.cast(kind))).alias("u"))
-    unit = unit.select("file", "n_file", F.col("u.unit").alias("unit"), terms(F.col("u.line")).alias("terms")).where(F.arrays_overlap("terms", keys))
-    tf = unit.select("file", "n_file", "unit", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).groupBy("file", "n_file", "unit", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
+    look = "|".join(sorted(found, key=lambda t: (len(t), t)))
+    unit = files.where(F.lower("text").rlike(look)).select("file", F.size(terms(F.col("text"))).alias("n_file"), F.explode(units(F.col("text"), look)).alias("u"))
+    key = ["file", "n_file", "start", "lines"]
+    unit = unit.select("file", "n_file", "u.start", "u.lines", terms(F.col("u.line")).alias("terms")).where(F.arrays_overlap("terms", keys))
+    tf = unit.select(*key, F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).groupBy(*key, "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = tf.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.log(n) + 1))
-    dot = tf.join(F.broadcast(vecs), "term", "left").groupBy("file", "n_file", "unit", "n_terms", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    norm = tf.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    got = dot.where(F.col("template").isNotNull()).join(norm, ["file", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
-    best = got.where(F.col("score") >= threshold).groupBy("file", "n_file", "unit", "n_terms").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("best"))
-    return best.select("file", "n_file", "unit", "n_terms", F.col("best.license").alias("license"), (-F.col("best.neg")).alias("score"))
+    # a unit's terms become one row: what it shares with the templates' terms, and its length
+    held = F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w")))
+    one = tf.groupBy(*key, "n_terms").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), held.alias("held"))
+    dot = one.select(*key, "n_terms", "norm", F.explode("held").alias("h")).select(*key, "n_terms", "norm", "h.term", "h.w").join(F.broadcast(vecs), "term")
+    got = dot.groupBy(*key, "n_terms", "norm", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot")).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
+    best = got.where(F.col("score") >= threshold).groupBy(*key, "n_terms").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("best"))
+    return best.select(*key, "n_terms", F.col("best.license").alias("license"), (-F.col("best.neg")).alias("score"))
 
 
 def folder(path: Column) -> Column:
@@ -99,7 +127,7 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     key = F.unhex(F.md5(F.concat_ws("\n", F.coalesce("path", F.lit("")), F.coalesce("text", F.lit("")))))
     keyed = files.select("doc_id", "path", "text", key.alias("file"))
     unit = cut(matches(keyed.where(F.col("text").isNotNull()).select("file", "text"), templates, threshold))
-    own = unit.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("best"), F.sum(F.when(F.col("unit") >= 0, F.col("n_terms")).otherwise(0)).alias("covered"), F.max(F.when(F.col("unit") < 0, True)).alias("whole"), F.first("n_file").alias("n"))
+    own = unit.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("best"), F.greatest(F.sum(F.when(F.col("lines") == 1, F.col("n_terms")).otherwise(0)), F.max(F.when(F.col("lines") > 1, F.col("n_terms")).otherwise(0))).alias("covered"), F.max(F.when(F.col("lines") == 0, True)).alias("whole"), F.first("n_file").alias("n"))
     # only files with a licence of their own can be licence files; their texts stay where they are
     named = F.regexp_extract("path", "([^/]*)$", 1).rlike(r"(?i)^(license|licence|copying|notice)(\.[a-z]+)?$")
     of = own.join(keyed.select("file", "path").distinct(), "file").where(named | F.coalesce("whole", F.lit(False)) | (2 * F.col("covered") >= F.col("n")))

@@ -3,19 +3,24 @@
 Every record hashes into one of a fixed number of virtual slots; bytes are aggregated per slot; a versioned
 map says which shard holds which slot. Records never move between slots, so a rebalance edits only the map
 (at most ``n_slots`` rows, whatever the data). Version 1 gives slots, heaviest first, to the lightest shard;
-``rebalance`` derives later versions by moving as few slots as needed.
+``rebalance`` derives the next version, in which a shard gives away no more than what is above the new even share. The map is a table, a folder for each version: ``store`` writes
+the next one and leaves earlier ones alone, ``load`` reads any.
 
+Equal texts are separate records, spread by their ids: a text that a third of all rows hold is spread over all slots. (In
+the check's terms, groups of equal texts are the hot groups here; nothing keeps them together.)
 Nulls: a null text has no bytes, a null id hashes as the word null. Repeated rows are separate records of one slot
 (their order inside it is arbitrary but they are equal). An empty table gives an empty result and a map of empty slots.
-Only id, size and checksum are shuffled, never the text; extra columns are ignored.
+Only id, size and checksum are shuffled, never the text; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash32, table
+from .common import cut, hash32, shared_dir, table
 
 SLOTS = 4096
 SHARDS = 40
@@ -87,6 +92,19 @@ def rebalance(slot_map: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame
     return stay.select("virtual_slot", "shard").unionByName(moved).crossJoin(F.broadcast(version))
 
 
+def store(slot_map: DataFrame, folder: str) -> DataFrame:
+    """Writes the map as the folder of its version, which must be new, and returns it as read back."""
+    version = slot_map.agg(F.max("version")).first()[0]
+    slot_map.drop("version").coalesce(1).write.parquet(f"{folder}/version={version}")
+    return load(slot_map.sparkSession, folder, version)
+
+
+def load(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """virtual_slot, shard, version of one version of a stored map, the last by default."""
+    every = spark.read.schema("virtual_slot int, shard int, version int").parquet(folder)
+    return every.where(F.col("version") == (every.agg(F.max("version")).first()[0] if version is None else version))
+
+
 def place(recs: DataFrame, slot_map: DataFrame, sizes: DataFrame) -> DataFrame:
     """Shard and gapless position inside the shard of each record: the rows of the earlier slots of the shard, then
     the row's place in its own slot. No task ever sorts more than one slot."""
@@ -98,7 +116,11 @@ def place(recs: DataFrame, slot_map: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def op6_virtual_slots(spark, sf_dir):
+    """The records on the shards of version 1 of a stored map; ``next_shard`` is theirs under version 2, edited for one shard more."""
     recs = records(table(spark, sf_dir, "documents"))
-    sizes = slot_sizes(recs)
-    out = place(recs, first_map(sizes), sizes)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    sizes = cut(slot_sizes(recs))
+    folder = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    first = store(first_map(sizes), folder)
+    grown = store(rebalance(first, sizes, SHARDS + 1), folder)
+    out = place(recs, first, sizes).join(F.broadcast(grown.select("virtual_slot", F.col("shard").alias("next_shard"))), "virtual_slot")  # SLOTS rows
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard")

@@ -2,13 +2,15 @@
 
 Rules label urls. Per host a tree of path segments is built level by level: a segment with a digit becomes a shape
 (``#`` for each run of digits); siblings whose labelled block rate cannot be told from that of all siblings
-together are merged into ``*``, the others keep a branch of their own. A template (host and path of the tree)
-is rejected if its labelled block rate, smoothed towards one half, reaches ``purity``. A url gets the verdict of its longest
-rule, else that of its template, so a template without labels is allowed.
+together are merged into ``*``, the others keep a branch of their own. A branch whose labels are all alike, or that has none, cannot be
+told apart further: it ends there as ``/**``, if any of its paths goes on; all others are followed to the end of their longest path,
+however deep. A template (host and path of the tree) is rejected if its labelled block rate, smoothed towards one half, reaches
+``purity``. A url gets the verdict of its longest rule, else that of its template, so a template without labels is allowed.
 
 Nulls: a url that is null or has no ``://`` has empty host and path. Repeated rows keep one row each. Empty tables give no
-rows. The tree is built from counts of distinct (host, segments), not from urls: hot hosts are aggregated before the
-shuffle, and the way back joins on host and segments, where adaptive execution splits a hot key.
+rows. Other columns of any name are ignored. The tree is built from counts of distinct (host, segments), not from urls: hot hosts are
+aggregated before the shuffle; the way back joins on host and segments by broadcast up to ``BROADCAST_BYTES``, else by shuffle,
+where adaptive execution splits a hot key.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from .common import cut, table
 
 #: (verdict, host, path); a rule's name is its host and path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-DEPTH = 3
+#: Size of the map from (host, segments) to templates up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Weight of the one-half prior, purity from which a template is rejected, and the squared z value from which siblings differ.
 SMOOTHING, PURITY, Z2 = 4, 0.8, 4.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,38 +46,46 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return best
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
-    """The first ``depth`` segments, digits generalised; null beyond the end. What follows them counts as one more."""
-    parts = F.split(F.regexp_replace(path, "[0-9]+", "#"), "/", depth + 2)
-    return F.struct(*[F.get(parts, F.lit(i + 1)).alias(f"s{i}") for i in range(depth)], (F.size(parts) > depth + 1).alias("more"))
+def segments(path: Column) -> Column:
+    """All segments of a path, digits generalised; none for a path without a slash."""
+    return F.slice(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), 2, 2**31 - 1)
 
 
-def templates(urls: DataFrame, depth: int = DEPTH, smoothing: int = SMOOTHING, z2: float = Z2) -> DataFrame:
+def templates(urls: DataFrame, smoothing: int = SMOOTHING, z2: float = Z2) -> DataFrame:
     """For rows (host, seg, verdict) the map of (host, seg) to its template, with the template's n_labelled, n_block and purity."""
     node = urls.groupBy("host", "seg").agg(F.count("verdict").alias("n"), F.count_if(F.col("verdict") == "block").alias("b"))
     # one row per host and shape of path: small beside the urls, and read once per level
-    node = cut(node.withColumn("template", F.col("host")))
-    for i in range(depth):
-        node = node.withColumn("part", F.coalesce(F.col(f"seg.s{i}"), F.lit("")))
-        child = node.groupBy("template", "part").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-        every = child.groupBy("template").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
+    open_, done, i = cut(node.withColumn("template", F.col("host"))), None, 0
+    while open_.limit(1).count():
+        every = open_.groupBy("template").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.max(F.size("seg")).alias("deep"))
+        child = open_.withColumn("part", F.coalesce(F.get("seg", F.lit(i)), F.lit(""))).groupBy("template", "part").agg(F.sum("n").alias("c_n"), F.sum("b").alias("c_b"))
         rate = (F.col("all_b") + smoothing * 0.5) / (F.col("all_n") + smoothing)
-        off = F.col("b") - F.col("n") * rate
-        child = child.join(every, "template").select("template", "part", ((F.col("n") > 0) & (off * off >= z2 * (F.col("n") * rate * (1 - rate)))).alias("apart"))
-        node = node.join(cut(child), ["template", "part"])
-        name = F.when(F.col(f"seg.s{i}").isNull(), F.lit("")).when(F.col("apart"), F.concat(F.lit("/"), "part")).otherwise(F.lit("/*"))
-        node = node.withColumn("template", F.concat("template", name)).drop("part", "apart")
-    pure = node.groupBy("template").agg(F.sum("n").alias("n_labelled"), F.sum("b").alias("n_block"))
+        off = F.col("c_b") - F.col("c_n") * rate
+        apart = (F.col("c_n") > 0) & (off * off >= z2 * (F.col("c_n") * rate * (1 - rate)))
+        alike = (F.col("all_b") == 0) | (F.col("all_b") == F.col("all_n"))
+        child = child.join(every, "template").select("template", "part", apart.alias("apart"), alike.alias("alike"), "deep")
+        at = open_.withColumn("part", F.coalesce(F.get("seg", F.lit(i)), F.lit(""))).join(child, ["template", "part"])
+        ended = F.size("seg") <= i
+        name = F.when(F.col("alike"), F.when(F.col("deep") > i, "/**").otherwise("")).when(ended, "").when(F.col("apart"), F.concat(F.lit("/"), "part")).otherwise("/*")
+        at = cut(at.select("host", "seg", "n", "b", F.concat("template", name).alias("template"), (F.col("alike") | ended).alias("final")))
+        part = at.where("final").drop("final")
+        done = part if done is None else done.unionByName(part)
+        open_, i = cut(at.where("not final").drop("final")), i + 1
+    done = open_ if done is None else done
+    pure = done.groupBy("template").agg(F.sum("n").alias("n_labelled"), F.sum("b").alias("n_block"))
     pure = pure.withColumn("purity", (F.col("n_block") + smoothing * 0.5) / (F.col("n_labelled") + smoothing))
-    return node.select("host", "seg", "template").join(pure, "template")
+    return done.select("host", "seg", "template").join(pure, "template")
 
 
-def judge(pages: DataFrame, rules=RULES, depth: int = DEPTH, purity: float = PURITY) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, purity: float = PURITY) -> DataFrame:
+    """page_id, host, path, rule, verdict, template, n_labelled and purity of each row of ``pages``."""
     host, path = host_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    urls = urls.withColumn("hit", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("seg", segments(F.col("path"), depth))
+    urls = urls.withColumn("hit", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("seg", segments(F.col("path")))
     urls = urls.withColumn("verdict", F.col("hit.verdict"))
-    out = urls.join(templates(urls, depth), ["host", "seg"])
+    tree = cut(templates(urls))
+    size = tree.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("template") + F.octet_length(F.array_join("seg", "/")) + 64), F.lit(0))).first()[0]
+    out = urls.join(F.broadcast(tree) if size <= BROADCAST_BYTES else tree, ["host", "seg"])
     own = F.when(F.col("purity") >= purity, "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("verdict", own).alias("verdict"), "template", "n_labelled", "purity")
 
@@ -83,33 +94,28 @@ def op4_path_templates(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages"))
 
 
-def _level(i: int) -> str:
-    return f"""
-c{i} AS (SELECT template, coalesce(s{i}, '') AS part, sum(n) AS n, sum(b) AS b FROM t{i} GROUP BY 1, 2),
-e{i} AS (SELECT template, (sum(b) + 2.0::DOUBLE) / (sum(n) + 4) AS rate FROM c{i} GROUP BY 1),
-a{i} AS (SELECT c{i}.template, part, n > 0 AND (b - n * rate) * (b - n * rate) >= 4.0::DOUBLE * (n * rate * (1 - rate)) AS apart
-         FROM c{i} JOIN e{i} USING (template)),
-t{i + 1} AS (SELECT t{i}.* EXCLUDE (template), t{i}.template || CASE WHEN s{i} IS NULL THEN '' WHEN apart THEN '/' || part ELSE '/*' END AS template
-         FROM t{i} JOIN a{i} ON t{i}.template = a{i}.template AND coalesce(s{i}, '') = part)"""
-
-
-OP4_SQL = (
-    r"""
-WITH u0 AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+OP4_SQL = r"""
+WITH RECURSIVE u0 AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u1 AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM u0),
 u2 AS (SELECT page_id, translate(coalesce(h, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
               coalesce(regexp_extract(substr(rest, length(h) + 1), '^[^?#]*'), '') AS path FROM u1),
 rules(v, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 u AS (SELECT page_id, host, path, (SELECT max_by(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule FROM u2),
-v AS (SELECT u.*, rules.v AS verdict, string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/') AS parts FROM u LEFT JOIN rules ON rule = h || p),
-s AS (SELECT *, parts[2] AS s0, parts[3] AS s1, CASE WHEN len(parts) >= 4 THEN parts[4] END AS s2, len(parts) > 4 AS more FROM v),
-t0 AS (SELECT host, s0, s1, s2, more, count(verdict) AS n, count(*) FILTER (verdict = 'block') AS b, host AS template FROM s GROUP BY ALL),"""
-    + ",".join(_level(i) for i in range(3))
-    + """,
-p AS (SELECT template, CAST(sum(n) AS BIGINT) AS n_labelled, (sum(b) + 2.0::DOUBLE) / (sum(n) + 4) AS purity FROM t3 GROUP BY 1)
+s AS (SELECT u.*, rules.v AS verdict, string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/')[2:] AS seg FROM u LEFT JOIN rules ON rule = h || p),
+t AS (
+  SELECT host, seg, n, b, host AS template, 0 AS i, false AS final FROM (SELECT host, seg, count(verdict) AS n, count(*) FILTER (verdict = 'block') AS b FROM s GROUP BY ALL)
+  UNION ALL
+  SELECT host, seg, n, b,
+         template || CASE WHEN alike THEN CASE WHEN deep > i THEN '/**' ELSE '' END WHEN len(seg) <= i THEN ''
+                          WHEN c_n > 0 AND (c_b - c_n * rate) * (c_b - c_n * rate) >= 4.0::DOUBLE * (c_n * rate * (1 - rate)) THEN '/' || seg[i + 1] ELSE '/*' END,
+         i + 1, alike OR len(seg) <= i
+  FROM (SELECT *, (all_b + 2.0::DOUBLE) / (all_n + 4) AS rate, all_b = 0 OR all_b = all_n AS alike
+        FROM (SELECT *, sum(n) OVER (PARTITION BY template) AS all_n, sum(b) OVER (PARTITION BY template) AS all_b, max(len(seg)) OVER (PARTITION BY template) AS deep,
+                     sum(n) OVER (PARTITION BY template, coalesce(seg[i + 1], '')) AS c_n, sum(b) OVER (PARTITION BY template, coalesce(seg[i + 1], '')) AS c_b
+              FROM t WHERE NOT final))),
+d AS (SELECT * FROM t WHERE final),
+p AS (SELECT template, CAST(sum(n) AS BIGINT) AS n_labelled, (sum(b) + 2.0::DOUBLE) / (sum(n) + 4) AS purity FROM d GROUP BY 1)
 SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.verdict, CASE WHEN p.purity >= 0.8::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
-       t3.template, p.n_labelled, p.purity
-FROM s JOIN t3 ON s.host = t3.host AND s.s0 IS NOT DISTINCT FROM t3.s0 AND s.s1 IS NOT DISTINCT FROM t3.s1 AND s.s2 IS NOT DISTINCT FROM t3.s2 AND s.more = t3.more
-JOIN p ON t3.template = p.template
+       d.template, p.n_labelled, p.purity
+FROM s JOIN d ON s.host = d.host AND s.seg = d.seg JOIN p ON d.template = p.template
 """
-)

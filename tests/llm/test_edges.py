@@ -91,6 +91,65 @@ def test_urls(spark, sf):
     assert (got[0].host, got[2].path, got[6].rule) == ("", "", None)
 
 
+def tree(pages):
+    """Brute force of the template tree over (host, path, verdict or None), by recursion."""
+    out = {}
+
+    def grow(rows, name, i):
+        n, b = sum(v is not None for *_, v in rows), sum(v == "block" for *_, v in rows)
+        if b in (0, n):
+            end = "/**" if max(len(s) for _, s, _ in rows) > i else ""
+            out.update({(h, tuple(s)): name + end for h, s, _ in rows})
+            return
+        rate = (b + 2) / (n + 4)
+        groups = {}
+        for r in rows:
+            part = r[1][i] if len(r[1]) > i else ""
+            groups.setdefault(part, []).append(r)
+        down = {}
+        for part, g in groups.items():
+            gn, gb = sum(v is not None for *_, v in g), sum(v == "block" for *_, v in g)
+            apart = gn > 0 and (gb - gn * rate) ** 2 >= 4.0 * (gn * rate * (1 - rate))
+            for r in g:
+                if len(r[1]) <= i:
+                    out[r[0], tuple(r[1])] = name
+                else:
+                    down.setdefault(name + ("/" + part if apart else "/*"), []).append(r)
+        for k, g in down.items():
+            grow(g, k, i + 1)
+
+    for host in {h for h, *_ in pages}:
+        grow([r for r in pages if r[0] == host], host, 0)
+    return out
+
+
+def test_templates_of_any_depth(spark):
+    import random
+
+    rnd = random.Random(4)
+    urls = []
+    for i in range(600):
+        deep = ["en" if rnd.random() < 0.5 else "fr", *[rnd.choice("ab") for _ in range(rnd.choice([0, 2, 5, 9]))]]
+        if rnd.random() < 0.4:
+            deep += ["secret", str(i)]
+        urls.append((i, f"http://h{i % 3}.org/" + "/".join(deep) + rnd.choice(["", "/", "?x/y"])))
+    urls += [(600 + i, "http://one.org/a/b/c/d/e/" + ("secret/1" if i % 2 else "open/1")) for i in range(40)]
+    rules = (("block", "org", "/en/a/b"), ("allow", "org", "/fr/"), ("block", "one.org", "/a/b/c/d/e/secret/"), ("allow", "one.org", "/a/b/c/d/e/open/"))
+    got = urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string"), rules=rules).collect()
+    rows = [(r.host, re.sub("[0-9]+", "#", r.path).split("/")[1:], r.verdict if r.rule else None) for r in got]
+    want = tree(rows)
+    assert all(want[r.host, tuple(re.sub("[0-9]+", "#", r.path).split("/")[1:])] == r.template for r in got)
+    # branches that differ from the sixth segment on alone
+    assert {r.template for r in got if r.host == "one.org"} == {"one.org/*/*/*/*/*/secret/**", "one.org/*/*/*/*/*/open/**"}
+    labelled = {}
+    for r in got:
+        n, b = labelled.get(r.template, (0, 0))
+        labelled[r.template] = (n + (r.rule is not None), b + (r.rule is not None and r.verdict == "block"))
+    for r in got:
+        n, b = labelled[r.template]
+        assert r.n_labelled == n and r.purity == pytest.approx((b + 2) / (n + 4)) and (r.rule or r.verdict == ("block" if r.purity >= 0.8 else "allow"))
+
+
 def test_near_duplicates_of_the_fixture(spark, docs):
     got = {r.doc_id: r.class_id for r in neardup.labelled(docs).collect() if r.doc_id is not None}
     assert got[4] == got[5] == got[6] == 4  # one word of sixty changes five shingles of 56: 51 of 61 align
@@ -264,6 +323,32 @@ def test_shards_even_and_gapless(spark):
     assert moved < 4096 / 8
 
 
+def test_shards_brute_force(spark, tmp_path):
+    docs = [(i, None if i % 9 == 0 else "é" * (i * 7 % 83)) for i in range(900)] + [(None, "x")] * 3
+    recs = sharding.records(spark.createDataFrame(docs, "doc_id long, text string")).cache()
+    sizes = sharding.slot_sizes(recs).cache()
+    first = sharding.store(sharding.first_map(sizes, 7), str(tmp_path / "map"))
+    slot = lambda i: int(hashlib.md5(f"slot:{'null' if i is None else i}".encode()).hexdigest()[:8], 16) % 4096
+    load = [0] * 4096
+    for i, t in docs:
+        load[slot(i)] += 16 + len((t or "").encode())
+    shards, want = [[0, 0, s] for s in range(7)], {}
+    for v in sorted(range(4096), key=lambda v: (-load[v], v)):
+        best = min(shards)
+        want[v] = best[2]
+        best[0] += load[v]
+        best[1] += 1
+    assert {r.virtual_slot: r.shard for r in first.collect()} == want
+    got = sharding.place(recs, first, sizes).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.size, r.shard) for r in got) == sorted((i is None, i, 16 + len((t or "").encode()), want[slot(i)]) for i, t in docs)
+    # rebalancing appends a version and leaves the first alone
+    sharding.store(sharding.rebalance(first, sizes, 8), str(tmp_path / "map"))
+    old, new = ({r.virtual_slot: r.shard for r in sharding.load(spark, str(tmp_path / "map"), v).collect()} for v in (1, None))
+    assert old == want and set(new.values()) == set(range(8))
+    total = [sum(load[v] for v in new if new[v] == s) for s in range(8)]
+    assert max(total) - min(total) <= 2 * max(load) and sum(load[v] for v in new if old[v] != new[v]) <= sum(load) / 8 + 7 * max(load)
+
+
 def test_bounds_are_optimal():
     import itertools
 
@@ -310,6 +395,101 @@ def test_licenses_inherit(spark):
     assert got[5][:2] == (None, "none") and got[6][:2] == ("CC-BY-NC-4.0", "own") and got[7][:2] == (None, "none")
 
 
+def test_licenses_brute_force(spark):
+    """Every unit's best template and cosine against plain TF-IDF; whole files of any length, runs of lines, single lines."""
+    import random
+    from collections import Counter
+
+    rnd = random.Random(7)
+    mit = licenses.bag("permission*2 is*4 hereby granted free of*9 charge to*9 any*2 person obtaining a*3 copy*2 this*2 software*10 and*4 associated documentation files the*15 deal in*7 without*3 restriction including*2")
+    bsd = "\n".join(["Redistribution and use in source and", "binary forms, with or without", "modification, are permitted provided", "that the following conditions are met"])
+    texts = [" ".join(rnd.choices([f"w{i}" for i in range(40)] + ["the", "of", "work", "license"], k=rnd.randint(1, 60))) for _ in range(30)]
+    texts += [bsd, texts[0] + "\n" + bsd + "\n" + texts[1] * 20, mit + " " + " ".join(["rights", "x"] * 3), licenses.TEMPLATES[-1][1], "a\nReleased under the MIT License.\nb\nAll rights reserved.", "", "license"]
+    texts.append("\n".join(licenses.TEMPLATES[-2][1].split(" ", 60)))
+    cut_ = lambda t: [x for x in re.split("[^a-z0-9]+", t.lower()) if x]
+    df = Counter(x for t in texts for x in set(cut_(t)))
+    vocabulary = {x for _, t in licenses.TEMPLATES for x in cut_(t)}
+    n = len(texts) + 1
+    idf = lambda x: math.log(n / (df[x] + 1)) + 1 if x in vocabulary else math.log(n) + 1
+
+    def vec(t):
+        w = {x: c * idf(x) for x, c in Counter(cut_(t)).items()}
+        size = math.sqrt(sum(v * v for v in w.values()))
+        return {x: v / size for x, v in w.items()}
+
+    sides = [(name, vec(t)) for name, t in licenses.TEMPLATES]
+    want = {}
+    for i, t in enumerate(texts):
+        lines = t.split("\n")
+        for start, k, u in [(0, 0, t)] + [(s, k, "\n".join(lines[s : s + k])) for k in (1, 2, 4, 8) for s in range(len(lines) - k + 1)]:
+            if cut_(u):
+                v = vec(u)
+                score, name = min((-round(sum(v.get(x, 0) * y for x, y in side.items()), 9), name) for name, side in sides)
+                if -score >= licenses.THRESHOLD:
+                    want[str(i), start, k] = (name, pytest.approx(-score, abs=1e-8))
+    got = licenses.matches(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "file string, text string")).collect()
+    assert {(r.file, r.start, r.lines): (r.license, r.score) for r in got} == want
+    assert ("31", 1, 4) in want and ("33", 0, 0) in want and ("37", 0, 0) in want and ("34", 1, 1) in want
+
+
+def plain_em(counts, like, allowed, rounds):
+    pi = [1 / len(allowed)] * len(allowed)
+    for _ in range(rounds):
+        new = [0.0] * len(allowed)
+        for b, c in counts.items():
+            mix = [pi[j] * like[b][k] for j, k in enumerate(allowed)]
+            for j, x in enumerate(mix):
+                new[j] += c * x / sum(mix)
+        pi = [x / sum(counts.values()) for x in new]
+    return pi, sum(c * math.log(sum(pi[j] * like[b][k] for j, k in enumerate(allowed))) for b, c in counts.items())
+
+
+def test_mixtures_brute_force():
+    """Proportions and chosen sets against all nested sets by plain loops, with up to nine languages in a text; and the bound."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    langs, buckets = 12, 60
+    like = rng.dirichlet([0.15] * buckets, langs).T + 1e-4
+    like /= like.sum(axis=0)
+    texts, sizes = [], set()
+    for k in (1, 1, 2, 3, 5, 9, 9):
+        mix = np.zeros(langs)
+        mix[rng.choice(langs, k, replace=False)] = rng.dirichlet([4.0] * k)
+        texts.append(rng.multinomial(rng.choice([40, 4000]) if k < 3 else 6000, like @ mix))
+    pi, size = langid.infer(np.array(texts), like)
+    for t, got, many in zip(texts, pi, size, strict=True):
+        counts = {b: int(c) for b, c in enumerate(t) if c}
+        full, most = plain_em(counts, like, list(range(langs)), langid.ROUNDS)
+        order = sorted(range(langs), key=lambda k: (-full[k], k))
+        single = max(range(langs), key=lambda k: (sum(c * math.log(like[b][k]) for b, c in counts.items()), -k))
+        best = (sum(c * math.log(like[b][single]) for b, c in counts.items()), 1, {single: 1.0})
+        for k in range(2, langs + 1):
+            p, ll = plain_em(counts, like, order[:k], langid.ROUNDS)
+            gain = ll - (k - 1) * langid.PENALTY * math.log(sum(counts.values()) + 1)
+            if gain > best[0]:
+                best = (gain, k, dict(zip(order[:k], p, strict=True)))
+        assert many == best[1]
+        assert {k: pytest.approx(v, abs=1e-6) for k, v in best[2].items() if v > 1e-9} == {k: v for k, v in enumerate(got.tolist()) if v > 1e-9}
+        sizes.add(many)
+        b, n = np.nonzero(t)[0], t[t > 0].astype(float)
+        _, ll, top = langid._em(like[b], n, np.array([0]), np.zeros(len(b), dtype=int), np.array([n.sum()]), np.ones((1, langs)), 3)
+        assert ll[0] <= plain_em(counts, like, list(range(langs)), 400)[1] + 1e-6 <= top[0] + 1e-5
+    assert max(sizes) >= 7
+
+
+def test_too_many_languages_are_refused(spark):
+    df = spark.createDataFrame([(i, "text", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.fit(df, max_langs=4)
+
+
+def test_held_out_accuracy(spark):
+    got = langid.op2_mixture_langid(spark, "/root/testdata/sf0.01").where("held_out and lang_pred <> 'und'").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang is not null")
+    n, right = got.agg(F.count(F.lit(1)), F.count_if(F.col("lang") == F.col("lang_pred"))).first()
+    assert n > 100 and right / n >= 0.97
+
+
 def test_language_of_mixtures(spark):
     import random
 
