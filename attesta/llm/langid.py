@@ -68,7 +68,8 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = code[pick]
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D + n * 2)
         found.append((h >> np.uint32(32 - BITS)).astype(np.int64))
-        at.append(owner[pick])
+        # an edge can lie between two texts: the n-gram is of the text of its letter
+        at.append(owner[pick] if n == 1 else np.where(letter[pick], owner[pick], owner[pick + 1]) if n == 2 else owner[pick + 1])
     return np.concatenate(found), np.concatenate(at)
 
 

@@ -76,6 +76,35 @@ def test_stages_keep_columns(spark, sf, docs, empty):
         assert stage(spark, nothing, empty).count() == 0
 
 
+def test_stages_decide(spark):
+    """What each stage keeps and changes, row by row, and the whole chain."""
+    import random
+
+    rnd = random.Random(2)
+    voc = {"xx": [f"kala{i}mora" for i in range(80)], "yy": [f"brent{i}wirt" for i in range(80)]}
+    docs = [(i, " ".join(rnd.choices(voc["xy"[i % 2] * 2], k=60)), "xy"[i % 2] * 2, f"s{i % 3}") for i in range(60)]
+    docs += [(100 + i, docs[i][1] + (" more" if i else ""), None, "s0") for i in range(5)]  # copies, exact and near
+    docs += [(200, "12 34 ...", None, "s1"), (201, None, None, None), (202, "", "xx", "s1"), (203, docs[7][1][:200] + " write to ann@mail.org now", "yy", None)]
+    df = spark.createDataFrame([(i, t, x, s, len(t or "")) for i, t, x, s in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    text = {i: t for i, t, *_ in docs}
+    one = corpus_pipeline.language_id(spark, df, "")
+    assert {r.doc_id: r.text for r in one.collect()} == {i: t for i, t in text.items() if i not in (200, 201, 202)}
+    unlabelled = corpus_pipeline.language_id(spark, df.withColumn("lang", F.lit(None).cast("string")), "")
+    assert {r.doc_id for r in unlabelled.collect()} == {i for i in text if i not in (200, 201, 202)}
+    two = corpus_pipeline.near_dedup(spark, one, "")
+    assert {r.doc_id: r.text for r in two.collect()} == {i: t for i, t in text.items() if i < 60 or i == 203}
+    three = {r.doc_id: r for r in corpus_pipeline.personal_data(spark, two, "").collect()}
+    assert three[203].text == text[203].replace("ann@mail.org", "[EMAIL]") and three[203].n_chars == len(three[203].text)
+    assert all(three[i].text == text[i] and three[i].source == f"s{i % 3}" for i in range(60))
+    four = corpus_pipeline.mix_sources(spark, spark.createDataFrame(list(three.values()), df.schema), "").collect()
+    often = {i: sum(r.doc_id == i for r in four) for i in three}
+    assert max(often.values()) <= 2 and all(r.text == three[r.doc_id].text for r in four)
+    words = lambda rows: sum(len(r.text.split()) for r in rows)
+    assert words(four) == pytest.approx(1.5 * words(three.values()), rel=0.1)
+    five = corpus_pipeline.pack(spark, spark.createDataFrame(four, df.schema), "").collect()
+    assert sorted(r.doc_id for r in five) == sorted(r.doc_id for r in four) and all(r.tokens == len(three[r.doc_id].text.split()) for r in five)
+
+
 def test_searches(spark, sf):
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.op1_collision_counting(spark, sf).collect()}
     assert got[(0, 1)] == (20, 1.0) and got[(20, 1)] == (0, 1.0)
@@ -501,6 +530,9 @@ def test_language_of_mixtures(spark):
     got = {r.row.doc_id: r for r in langid.predict(spark.createDataFrame(ask, "doc_id long, text string"), langs, like).collect()}
     assert got[1].langs == "xx" and got[1].score == 1.0 and got[2].langs == "xx,yy" and 0.5 < got[2].score < 0.8
     assert got[3].lang_pred == got[4].lang_pred == "und"
+    # texts counted together count as they do alone
+    texts = ["12 3", "kala mora", "", "  ", "é", "9", "x"]
+    assert (langid.counts(texts) == [langid.counts([t])[0] for t in texts]).all() and not langid.counts(texts)[[0, 2, 3, 5]].any()
 
 
 def test_hash_of_spans():
