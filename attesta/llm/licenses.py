@@ -7,8 +7,8 @@ A file is a licence file if its name says so or if units that carry a licence ho
 A file without a licence of its own inherits that of the licence files in the nearest ancestor directory that has one
 (best cosine, then first name).
 
-Only units with an anchor term are scored: a template's anchors are its heaviest terms, so many that what is left of it
-cannot reach the threshold alone; so the filter loses nothing. Runs of lines are laid out only around lines with an anchor. Template vocabulary
+Only units with an anchor term are scored: a template's anchors are all its terms but the commonest, as many as cannot
+reach the threshold alone; so the filter loses nothing. Runs of lines are laid out only around lines with an anchor. Template vocabulary
 and anchors are bounded by the templates; they reach the driver and are broadcast. Nulls: a null text has no licence of its own; a null
 path has no directory. Repeated rows keep their rows: files are told apart by path and text. Empty tables give no rows. Other columns of
 any name are ignored.
@@ -72,10 +72,11 @@ def vectors(files: DataFrame, templates=TEMPLATES) -> tuple[DataFrame, DataFrame
     return w.select("template", "license", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm))).alias("weight")), idf, n
 
 
-def anchors(vecs: DataFrame, threshold: float) -> list[str]:
-    """Terms one of which a unit must have to reach the threshold with any template."""
-    light = Window.partitionBy("template").orderBy("weight", "term").rowsBetween(Window.unboundedPreceding, 0)
-    rest = vecs.withColumn("upto", F.sum(F.col("weight") * F.col("weight")).over(light))
+def anchors(vecs: DataFrame, idf: DataFrame, threshold: float) -> list[str]:
+    """Terms one of which a unit must have to reach the threshold with any template: all but the commonest of each template, as long as
+    a unit of those alone cannot."""
+    light = Window.partitionBy("template").orderBy("idf", "term").rowsBetween(Window.unboundedPreceding, 0)
+    rest = vecs.join(F.broadcast(idf), "term").withColumn("upto", F.sum(F.col("weight") * F.col("weight")).over(light))
     return sorted({r["term"] for r in rest.where(F.col("upto") >= threshold * threshold - 1e-9).select("term").distinct().collect()})
 
 
@@ -99,10 +100,10 @@ def matches(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     has file and text."""
     vecs, idf, n = vectors(files, templates)
     vecs, idf = cut(vecs), cut(idf)
-    found = anchors(vecs, threshold)
+    found = anchors(vecs, idf, threshold)
     keys = F.array(*[F.lit(t) for t in found])
     # a quick look for anchors in the raw line spares most lines the cut into terms
-    look = "|".join(sorted(found, key=lambda t: (len(t), t)))
+    look = f"(?<![a-z0-9])(?:{'|'.join(found)})(?![a-z0-9])"
     unit = files.where(F.lower("text").rlike(look)).select("file", F.size(terms(F.col("text"))).alias("n_file"), F.explode(units(F.col("text"), look)).alias("u"))
     key = ["file", "n_file", "start", "lines"]
     unit = unit.select("file", "n_file", "u.start", "u.lines", terms(F.col("u.line")).alias("terms")).where(F.arrays_overlap("terms", keys))
