@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.operators.tables import cut, drop
@@ -33,7 +33,7 @@ class Rule:
 
 RULES = (
     Rule("target_source", ("correct", "withdraw"), over_origins=("external_observation",)),
-    Rule("principal", ("dispute", "withdraw"), value="connector:s2", entity="u3-1", targets="source"),
+    Rule("principal", ("dispute", "withdraw"), value="connector:s2", entity="u3*", targets="source"),
     Rule("any", ("dispute",), attr="emp*"),
     Rule("origin_group", ("correct",), value="g1", attr="tags", entity="u1*"),
     Rule("principal", ("withdraw",), value="agent:planner", over_origins=("agent_statement",)),
@@ -94,9 +94,11 @@ def authority(power: Column, rules=RULES) -> Column:
 
 
 def with_target(log: DataFrame) -> DataFrame:
-    """The log with columns ``t_...`` of each report's target, null unless it comes earlier."""
+    """The log with columns ``t_...`` of each report's target, null unless it comes earlier. Reports without a target, which are most,
+    take a position of their own into the join that no report has, so they do not meet in one task."""
     t = log.select(F.col("lsn").alias("t_lsn"), *[F.col(c).alias(f"t_{c}") for c in ("entity", "attr", "source_id", "actor", "grp", "origin", "cue", "form", "value")])
-    return log.join(t, (F.col("target") == F.col("t_lsn")) & (F.col("t_lsn") < F.col("lsn")), "left")
+    at = F.when(F.col("target").between(1, F.col("lsn") - 1), F.col("target")).otherwise(-F.col("lsn") - 2)
+    return log.withColumn("target_at", at).join(t, F.col("target_at") == F.col("t_lsn"), "left").drop("target_at")
 
 
 def own_merit(log: DataFrame, rules=RULES, failed_correction_allege: bool = True) -> DataFrame:
@@ -129,23 +131,29 @@ def own_merit(log: DataFrame, rules=RULES, failed_correction_allege: bool = True
 
 
 def claims(base: DataFrame) -> DataFrame:
-    """by (lsn of the actor), claimed (lsn), kind, explicit of everything an authorised actor would withdraw."""
-    act = base.where(F.col("withdraws").isNotNull()).select("lsn", "cue", "withdraws", "wsource")
-    explicit = act.select(F.col("lsn").alias("by"), F.col("withdraws").alias("claimed"), F.when(F.col("cue") == "correct", "self_correction").otherwise("withdraw").alias("kind"), F.lit(True).alias("explicit"))
-    wide = act.where(F.col("wsource").isNotNull()).select(F.col("lsn").alias("by"), F.col("wsource").alias("source_id"))
-    wide = base.select(F.col("lsn").alias("claimed"), "source_id").join(wide, "source_id").select("by", "claimed", F.lit("source_withdraw").alias("kind"), F.lit(False).alias("explicit"))
-    return explicit.unionByName(wide)
-
-
-def acting(claim: DataFrame) -> DataFrame:
-    """lsn of the actors that act: those no later acting actor claims. Starting from all actors, the set without a claimant in the
-    set is taken again and again; it is final once it does not change, after as many rounds as the longest chain of claims. Claims
-    on reports that do not act are left out first, so the rounds work on a small part of the log."""
-    actors = claim.select(F.col("by").alias("lsn")).distinct()
-    on = claim.where(F.col("by") > F.col("claimed")).join(actors.select(F.col("lsn").alias("claimed")), "claimed", "left_semi").select("by", "claimed").distinct()
+    """by (lsn of the actor), claimed (lsn) and kind of what an authorised actor would withdraw by name."""
+    act = base.where(F.col("withdraws").isNotNull())
+    return act.select(F.col("lsn").alias("by"), F.col("withdraws").alias("claimed"), F.when(F.col("cue") == "correct", "self_correction").otherwise("withdraw").alias("kind"))
+
+
+def wide_claims(base: DataFrame) -> DataFrame:
+    """by, source_id: the actors that would withdraw all reports of a source. They are kept as such: never a row for each report."""
+    return base.where(F.col("wsource").isNotNull()).select(F.col("lsn").alias("by"), F.col("wsource").alias("source_id"))
+
+
+def acting(base: DataFrame, claim: DataFrame, wide: DataFrame) -> DataFrame:
+    """lsn of the actors that act: those no later acting actor claims, by name or with their source. Starting from all actors, the
+    set without a claimant in the set is taken again and again; it is final once it does not change, after as many rounds as the longest
+    chain of claims. Claims on reports that do not act are left out first, so the rounds work on a small part of the log."""
+    actors = cut(base.where(F.col("withdraws").isNotNull()).select("lsn", "source_id"))
+    on = cut(claim.where(F.col("by") > F.col("claimed")).join(actors.select(F.col("lsn").alias("claimed")), "claimed", "left_semi").select("by", "claimed").distinct())
+
     def step(now: DataFrame) -> DataFrame:
-        hit = on.join(now.select(F.col("lsn").alias("by")), "by", "left_semi").select(F.col("claimed").alias("lsn"))
-        return actors.join(hit, "lsn", "left_anti")
+        here = now.select(F.col("lsn").alias("by"))
+        hit = on.join(here, "by", "left_semi").select(F.col("claimed").alias("lsn"))
+        last = wide.join(here, "by", "left_semi").groupBy("source_id").agg(F.max("by").alias("last"))
+        left = actors.join(last, "source_id", "left").where(F.col("last").isNull() | (F.col("lsn") >= F.col("last")))
+        return left.select("lsn", "source_id").join(hit, "lsn", "left_anti")
 
     now, before = actors, None
     while True:
@@ -156,21 +164,29 @@ def acting(claim: DataFrame) -> DataFrame:
             drop(now)
         now = new
         if state == before:
-            return now
+            return now.select("lsn")
         before = state
 
 
 def withdrawn(base: DataFrame, must_be_live: bool = True) -> DataFrame:
     """lsn, by, kind of every withdrawn report. The latest acting claimant counts (the earliest, if actors need not live), its
     explicit claim before its source-wide one."""
-    claim = claims(base)
+    claim, wide = claims(base), wide_claims(base)
     if must_be_live:
-        claim = cut(claim)  # narrow, and read in every round
-        claim = claim.join(acting(claim).select(F.col("lsn").alias("by")), "by", "left_semi")
-        first = F.max(F.struct("by", "explicit", "kind"))
+        claim, wide = cut(claim), cut(wide)  # narrow, and read in every round
+        live = acting(base, claim, wide).select(F.col("lsn").alias("by"))
+        claim, wide = claim.join(live, "by", "left_semi"), wide.join(live, "by", "left_semi")
+        best, pick = F.max, F.greatest
     else:
-        first = F.min(F.struct("by", (~F.col("explicit")).alias("explicit"), "kind"))
-    return claim.groupBy(F.col("claimed").alias("lsn")).agg(first.alias("w")).select("lsn", F.col("w.by").alias("by"), F.col("w.kind").alias("kind"))
+        best, pick = F.min, F.least
+    rank = F.lit(1 if must_be_live else 0)  # an explicit claim goes first among those of one actor
+    named = claim.groupBy(F.col("claimed").alias("lsn")).agg(best(F.struct("by", rank.alias("rank"), "kind")).alias("w"))
+    if not wide.limit(1).count():
+        return named.select("lsn", F.col("w.by").alias("by"), F.col("w.kind").alias("kind"))
+    # one row a source, of the few that have been withdrawn
+    last = wide.groupBy("source_id").agg(best(F.struct("by", (1 - rank).alias("rank"), F.lit("source_withdraw").alias("kind"))).alias("s"))
+    met = base.select("lsn", "source_id").join(last, "source_id", "left").join(named, "lsn", "left").withColumn("w", pick("w", "s"))
+    return met.where("w is not null").select("lsn", F.col("w.by").alias("by"), F.col("w.kind").alias("kind"))
 
 
 def signature(form: Column, value: Column, holder: Column) -> Column:
@@ -178,22 +194,40 @@ def signature(form: Column, value: Column, holder: Column) -> Column:
     return F.concat_ws("|", form, holder, value)
 
 
+def _confirming(all_: DataFrame) -> DataFrame:
+    evid = F.col("cue").isin(*EVIDENCE)
+    return all_.where((F.col("outcome") == "admissible") & (F.col("reason") == "admitted") & F.col("by").isNull() & evid)
+
+
 def evaluate(log: DataFrame, rules=RULES, must_be_live: bool = True) -> DataFrame:
-    """The log with its final decisions: outcome and reason after confirmation, confirmed_by (sorted ids), by and kind of the withdrawal."""
+    """The log with its final decisions: outcome and reason after confirmation, confirmer (the first one's id), by and kind of the
+    withdrawal. A quarantined report is confirmed by one of another origin group that says the same of the key; the first
+    reports of two groups are all that need be known of those that could."""
     base = own_merit(log, rules)
     gone = withdrawn(base, must_be_live)
     all_ = base.join(gone, "lsn", "left").withColumn("sig", signature(F.col("form"), F.col("value"), F.col("holder")))
-    evid = F.col("cue").isin(*EVIDENCE)
-    ok = all_.where((F.col("outcome") == "admissible") & (F.col("reason") == "admitted") & F.col("by").isNull() & evid)
-    ok = ok.select("entity", "attr", "sig", F.col("grp").alias("c_grp"), F.col("rid").alias("c_rid"))
-    wait = all_.where((F.col("outcome") == "quarantined") & evid & F.col("form").isNotNull())
-    conf = wait.select("lsn", "entity", "attr", "sig", "grp").join(ok, ["entity", "attr", "sig"]).where(F.col("grp") != F.col("c_grp"))
-    conf = conf.groupBy("lsn").agg(F.array_join(F.sort_array(F.collect_list("c_rid")), ",").alias("confirmed_by"))
+    said = ["entity", "attr", "sig"]
+    first = _confirming(all_).groupBy(*said, F.col("grp").alias("c_grp")).agg(F.min("rid").alias("c_rid"))
+    at = F.row_number().over(Window.partitionBy(*said).orderBy("c_rid"))
+    two = first.withColumn("at", at).where("at <= 2").groupBy(*said).agg(F.array_sort(F.collect_list(F.struct("c_rid", "c_grp"))).alias("two"))
+    wait = (F.col("outcome") == "quarantined") & F.col("cue").isin(*EVIDENCE) & F.col("form").isNotNull()
+    conf = all_.where(wait).select("lsn", *said, "grp").join(two, said)
+    conf = conf.select("lsn", F.get(F.filter("two", lambda x: x["c_grp"] != F.col("grp")), F.lit(0))["c_rid"].alias("confirmer")).where("confirmer is not null")
     out = all_.join(conf, "lsn", "left")
-    yes = F.col("confirmed_by").isNotNull()
+    yes = F.col("confirmer").isNotNull()
     return out.withColumns({"outcome": F.when(yes, "admissible").otherwise(F.col("outcome")), "reason": F.when(yes, "confirmed").otherwise(F.col("reason"))})
 
 
+def confirmations(ev: DataFrame) -> DataFrame:
+    """rid, reason, confirmed_by (all ids, sorted) of the confirmed reports. The ids are put together once for each group that waits."""
+    said = ["entity", "attr", "sig"]
+    wait = ev.where("reason = 'confirmed'")
+    by = _confirming(ev).groupBy(*said, F.col("grp").alias("c_grp")).agg(F.collect_list("rid").alias("ids"))
+    met = wait.select(*said, "grp").distinct().join(by, said).where("grp <> c_grp")
+    ids = met.groupBy(*said, "grp").agg(F.array_join(F.array_sort(F.flatten(F.collect_list("ids"))), ",").alias("confirmed_by"))
+    return wait.select("rid", "reason", *said, "grp").join(ids, [*said, "grp"]).select("rid", "reason", "confirmed_by")
+
+
 def direct(ev: DataFrame) -> DataFrame:
     """The evidence the kernel reads: entity, attr, lsn, rid, anchor, value, op (none, change, correction), frm, of, grp, source_class."""
     d = ev.where(
@@ -222,8 +256,6 @@ def denials(ev: DataFrame) -> DataFrame:
 def excluded(log: DataFrame, markers: DataFrame) -> DataFrame:
     """rid, marker_lsn of the reports an exclusion holds for: the latest marker of the report's source with ``from_lsn`` at most its lsn
     decides. Markers become intervals of the log in which one of them decides, so a report meets one interval of its source."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("source_id").orderBy("from_lsn")
     last = F.max(F.struct("marker_lsn", "op")).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("m")
     step = markers.select("source_id", "from_lsn", last).distinct()

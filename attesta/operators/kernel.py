@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.operators.tables import cut
+
 BUDGET = 12
 ENV_CAP = 256
 #: attr -> (single, changeable, competing)
@@ -51,20 +53,26 @@ def _flags(df: DataFrame, specs=SPECS) -> DataFrame:
     return df.withColumns({"single": flag(0), "changeable": flag(1), "competing": flag(2)})
 
 
-def keys(direct: DataFrame) -> DataFrame:
-    """entity, attr, reps, n: the reports of each key in order. The rows are few bytes and much work, so the number of partitions
-    is given: adaptive execution would put them together by their bytes. The grouping reuses this shuffle."""
+def keys(direct: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """entity, attr, reps, n: the number of reports of each key and, if they are within the budget, the reports in order. Of a key only
+    ``budget + 1`` reports leave a map task (a rank limit ahead of the shuffle) and the counts are partial sums, so a key of any size costs
+    no task more than others. The rows are few bytes and much work, so the number of partitions is given: adaptive
+    execution would put them together by their bytes. The grouping reuses this shuffle."""
     spark = direct.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    direct = direct.repartition(parts, "entity", "attr")
+    direct = cut(direct)
+    many = direct.groupBy("entity", "attr").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    at = F.row_number().over(Window.partitionBy("entity", "attr").orderBy("lsn"))
+    few = direct.withColumn("at", at).where(F.col("at") <= budget + 1).join(many.where(F.col("n") <= budget), ["entity", "attr"], "left_semi").drop("at")
     rep = F.struct("anchor", "value", "lsn", "rid", "op", "frm", "of", "grp", "source_class")
-    return direct.groupBy("entity", "attr").agg(F.array_sort(F.collect_list(rep)).alias("reps")).withColumn("n", F.size("reps"))
+    held = few.repartition(parts, "entity", "attr").groupBy("entity", "attr").agg(F.array_sort(F.collect_list(rep)).alias("reps"))
+    return many.repartition(parts, "entity", "attr").join(held, ["entity", "attr"], "left").select("entity", "attr", "reps", "n")
 
 
 def interpretations(direct: DataFrame, policy: str = "P0cSU", budget: int = BUDGET, specs=SPECS) -> DataFrame:
     """entity, attr, reps, n, single, changeable, masks (admissible labellings), level (of the relaxation ladder), limited. Keys with more than
-    ``budget`` reports are kept with null masks: they are resource-limited, never degraded."""
-    k = _flags(keys(direct), specs).withColumn("m", F.expr(MASKS)).withColumn("every", F.expr(f"if(n <= {budget}, sequence(0L, shiftleft(1L, n) - 1), null)"))
+    ``budget`` reports are kept with null reps and masks: they are resource-limited, never degraded."""
+    k = _flags(keys(direct, budget), specs).withColumn("m", F.expr(MASKS)).withColumn("every", F.expr(f"if(n <= {budget}, sequence(0L, shiftleft(1L, n) - 1), null)"))
     k = k.withColumn("l0", F.expr(_admissible(policy, False)))
     k = k.withColumn("l1", F.expr(f"if(size(l0) = 0, {_admissible(policy, True)}, null)"))
     k = k.withColumn("l2", F.expr(f"if(size(l1) = 0, {_admissible('P0', True)}, null)"))

@@ -79,23 +79,28 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         new = cut(new)
         if not new.limit(1).count():
             return seen
-        seen = cut(seen.unionByName(new))
-        frontier = new
+        grown = cut(seen.unionByName(new))
+        drop(seen)
+        if frontier is not seen:
+            drop(frontier)
+        seen, frontier = grown, new
 
 
-def walk(edges: DataFrame) -> DataFrame:
-    """root, node for every node on the path from each root (each src has one dst): paths double in length with each round."""
-    edges = cut(edges)
-    paths, step = edges.select(F.col("src").alias("root"), F.col("dst").alias("node")), edges
+def chain_lengths(edges: DataFrame) -> DataFrame:
+    """root, chain: the number of edges from each src (which has one dst) to the end of its path. Pointers double in length with each
+    round, so a round is one self-join of as many rows as there are edges, and the paths themselves are never written out."""
+    done, now = None, cut(edges.select(F.col("src").alias("root"), F.col("dst").alias("at"), F.lit(1).cast("long").alias("chain")))
     while True:
-        # step leads 2^i edges ahead; paths hold all nodes within 2^i
-        ahead = step.join(paths.withColumnRenamed("root", "dst"), "dst").select(F.col("src").alias("root"), "node")
-        longer = cut(paths.unionByName(ahead).distinct())
-        hop = step.select(F.col("dst").alias("mid"), F.col("src").alias("s"))
-        next_ = cut(hop.join(step, hop.mid == step.src).select(F.col("s").alias("src"), "dst"))
-        paths, step = longer, next_
-        if not step.limit(1).count():
-            return paths
+        ahead = now.select(F.col("root").alias("at"), F.col("at").alias("far"), F.col("chain").alias("more"))
+        ended = done.select(F.col("root").alias("at"), F.lit(None).cast(now.schema["at"].dataType).alias("far"), F.col("chain").alias("more")) if done is not None else None
+        met = now.join(ahead if ended is None else ahead.unionByName(ended), "at", "left")
+        new = cut(met.select("root", F.col("far").alias("at"), (F.col("chain") + F.coalesce("more", F.lit(0))).alias("chain")))
+        drop(now)
+        over = new.where("at is null").select("root", "chain")
+        done = over if done is None else done.unionByName(over)
+        now = cut(new.where("at is not null"))
+        if not now.limit(1).count():
+            return done
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -59,11 +59,16 @@ def outbox(version: DataFrame, subs: DataFrame) -> DataFrame:
     return out.select("plan", "entity", "attr", "version", F.sha2(F.concat_ws("|", "plan", "entity", "attr", old, F.col("version").cast("string")), 256).alias("event_id"))
 
 
+def id_set():
+    """Aggregate that tells sets of report ids apart, in any order and by partial sums: their number and two sums of hashes."""
+    return F.struct(F.count("rid").alias("n"), *[F.sum(F.xxhash64("rid", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)])
+
+
 def touched(before: DataFrame, after: DataFrame) -> DataFrame:
     """entity, attr of the keys whose direct ids differ between two evaluations."""
 
     def ids(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("entity", "attr").agg(F.sort_array(F.collect_list("rid")).alias(name))
+        return df.groupBy("entity", "attr").agg(id_set().alias(name))
 
     return ids(before, "a").join(ids(after, "b"), ["entity", "attr"], "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("entity", "attr")
 

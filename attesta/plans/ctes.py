@@ -64,7 +64,7 @@ FROM log1""")
 cte("rules", "", """
 SELECT * FROM (VALUES
   (0, 'target_source', NULL, ['correct', 'withdraw'], '*', '*', 'report', ['external_observation']),
-  (1, 'principal', 'connector:s2', ['dispute', 'withdraw'], '*', 'u3-1', 'source', NULL),
+  (1, 'principal', 'connector:s2', ['dispute', 'withdraw'], '*', 'u3*', 'source', NULL),
   (2, 'any', NULL, ['dispute'], 'emp*', '*', 'report', NULL),
   (3, 'origin_group', 'g1', ['correct'], 'tags', 'u1*', 'report', NULL),
   (4, 'principal', 'agent:planner', ['withdraw'], '*', '*', 'report', ['agent_statement'])) r(ord, who, who_value, may, attr_glob, entity_glob, targets, over_origins)""")
@@ -198,3 +198,15 @@ cte("seg", "seg1", """
 SELECT entity, attr, arg_min(coalesce(lo, -1000000), rep) AS lo0, arg_max(coalesce(hi, 1000000), rep) AS hi0, any_value(status) AS status, any_value(candidates) AS candidates, any_value(support) AS support
 FROM (SELECT *, sum(fresh) OVER (PARTITION BY entity, attr ORDER BY rep) AS island FROM seg1) GROUP BY entity, attr, island""")
 cte("segment", "seg", "SELECT entity, attr, CAST(nullif(lo0, -1000000) AS INT) AS lo, CAST(nullif(hi0, 1000000) AS INT) AS hi, status, candidates, support FROM seg")
+_HASH = "sha256('log.v1' || chr(10) || {0} || chr(10) || c.lsn || chr(10) || c.commitment)"
+_ZERO = "repeat('0', 64)"
+cte("commits", "log", "SELECT lsn, (lsn - 1) // 1024 AS block, sha256('salt' || lsn || '|' || entity || '|' || attr || '|' || cue || '|' || coalesce(value, '')) AS commitment FROM log")
+cte("chained", "commits", f"""
+WITH RECURSIVE r AS (
+  SELECT lsn, block, commitment, {_ZERO} AS prev_hash, {_HASH.format(_ZERO)} AS entry_hash FROM commits c WHERE (lsn - 1) % 1024 = 0
+  UNION ALL SELECT c.lsn, c.block, c.commitment, r.entry_hash, {_HASH.format("r.entry_hash")} FROM r JOIN commits c ON c.lsn = r.lsn + 1 AND c.block = r.block) SELECT * FROM r""")
+cte("heads", "chained", f"""
+WITH RECURSIVE l AS (SELECT block, arg_max(entry_hash, lsn) AS last_hash FROM chained GROUP BY 1),
+h AS (SELECT block, sha256('block.v1' || chr(10) || {_ZERO} || chr(10) || block || chr(10) || last_hash) AS head FROM l WHERE block = 0
+  UNION ALL SELECT l.block, sha256('block.v1' || chr(10) || h.head || chr(10) || l.block || chr(10) || l.last_hash) FROM h JOIN l ON l.block = h.block + 1) SELECT * FROM h""")
+cte("gen", "log", "SELECT entity, attr, max(lsn) AS required, max(lsn) FILTER (WHERE k % 4 <> 0) AS completed, bool_or(k = 50) AS dirty, bool_or(k = 51) AS erased, arg_max(k % 9 = 0, lsn) AS incomplete FROM log GROUP BY 1, 2")

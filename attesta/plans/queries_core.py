@@ -79,12 +79,16 @@ def withdrawn_any(spark, sf_dir):
 
 @query("op_a9_source_wide", oracle("claims", "SELECT by_lsn, count(*) AS reached FROM claims WHERE NOT explicit GROUP BY by_lsn"))
 def source_wide(spark, sf_dir):
-    return A.claims(A.own_merit(report_log(spark, sf_dir))).where("not explicit").groupBy(F.col("by").alias("by_lsn")).agg(F.count(F.lit(1)).alias("reached"))
+    """OP-A9: how many reports each authorised source-wide withdrawal reaches."""
+    base = A.own_merit(report_log(spark, sf_dir))
+    size = base.groupBy("source_id").agg(F.count(F.lit(1)).alias("reached"))
+    return A.wide_claims(base).join(size, "source_id").select(F.col("by").alias("by_lsn"), "reached")
 
 
 @query("op_a10_confirmation", oracle("ev", "SELECT rid, reason, confirmed_by FROM ev WHERE confirmed_by IS NOT NULL"))
 def confirmation(spark, sf_dir):
-    return A.evaluate(report_log(spark, sf_dir)).where("confirmed_by is not null").select("rid", "reason", "confirmed_by")
+    """OP-A10: quarantined reports that another origin group confirms, with all that do."""
+    return A.confirmations(cut(A.evaluate(report_log(spark, sf_dir)).select("rid", "reason", "outcome", "cue", "by", "entity", "attr", "sig", "grp")))
 
 
 @query("op_a11_evidence_set", oracle("ev", """
@@ -166,8 +170,7 @@ SELECT rid, 'quarantined' AS before_outcome, outcome AS after_outcome, split_par
 def admission_delta(spark, sf_dir):
     """OP-A19: reports whose record changes after their own append, by a later first confirmer."""
     ev = A.evaluate(report_log(spark, sf_dir)).where("reason = 'confirmed'")
-    first = F.split_part("confirmed_by", F.lit(","), F.lit(1))
-    return ev.where(first > F.col("rid")).select("rid", F.lit("quarantined").alias("before_outcome"), F.col("outcome").alias("after_outcome"), first.alias("first_confirmer"))
+    return ev.where("confirmer > rid").select("rid", F.lit("quarantined").alias("before_outcome"), F.col("outcome").alias("after_outcome"), F.col("confirmer").alias("first_confirmer"))
 
 
 @query("op_a20_crosscheck", "SELECT 0::BIGINT AS missing, 0::BIGINT AS extra")

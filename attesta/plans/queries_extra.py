@@ -32,10 +32,39 @@ def evidence_of(spark, sf_dir):
     return A.evaluate(report_log(spark, sf_dir)).where("entity = 'u1-2'").select("rid", "outcome", "reason", F.col("by").isNotNull().alias("withdrawn"))
 
 
-@query("op_q8_verify", "SELECT 0::BIGINT AS problems")
+@query("op_q8_verify", oracle("heads", "SELECT 0::BIGINT AS problems, count(*) AS blocks, arg_max(head, block) AS head FROM heads"))
 def verify(spark, sf_dir):
-    """OP-Q8, OP-V6: an untouched chain verifies, from its first position or from a checkpoint on."""
-    return I.verify(I.chain(report_log(spark, sf_dir, 1000))).agg(F.count(F.lit(1)).alias("problems"))
+    """OP-Q8, OP-V6: the whole chain verifies, block by block, and its last head stands for it."""
+    chained = cut(I.chain(report_log(spark, sf_dir)))
+    head = I.heads(chained).agg(F.count(F.lit(1)).alias("blocks"), F.max_by("head", "block").alias("head"))
+    return I.verify(chained).agg(F.count(F.lit(1)).alias("problems")).crossJoin(F.broadcast(head))  # one row each
+
+
+_ADM = """
+, a AS (SELECT b.lsn, b.k, CASE WHEN k = 13 THEN 'admissible:admitted' ELSE verdict END AS record, CASE WHEN k = 17 THEN repeat('0', 64) ELSE entry_hash END AS report_hash, verdict, entry_hash FROM base b JOIN chained USING (lsn))
+SELECT lsn, 'admission_hash_mismatch' AS problem FROM a WHERE record <> verdict OR report_hash <> entry_hash UNION ALL SELECT lsn, 'admission_report_mismatch' FROM a WHERE report_hash <> entry_hash"""
+
+
+@query("op_v3_verify_admissions", oracle("base chained", _ADM).replace("\n\n, a AS", ",\na AS"))
+def verify_admissions(spark, sf_dir):
+    """OP-V3: stored admission records, some of them altered after they were hashed (k = 13: the outcome, k = 17: the report)."""
+    log = report_log(spark, sf_dir)
+    chained = cut(I.chain(log))
+    adm = A.own_merit(log).select("lsn", "k", F.concat_ws(":", "outcome", "reason").alias("record")).join(chained.select("lsn", F.col("entry_hash").alias("report_hash")), "lsn")
+    adm = adm.withColumn("entry_hash", I.admission_hash(F.col("lsn"), F.col("record"), F.col("report_hash")))
+    adm = adm.withColumns({"record": F.when(F.col("k") == 13, "admissible:admitted").otherwise(F.col("record")), "report_hash": F.when(F.col("k") == 17, I.GENESIS).otherwise(F.col("report_hash"))})
+    return I.verify_admissions(cut(adm), chained)
+
+
+@query("op_v5_verify_beliefs", oracle("sthere keyn gen", """
+SELECT s.entity, s.attr FROM sthere s JOIN keyn k USING (entity, attr) JOIN gen g USING (entity, attr)
+WHERE k.n % 3 = 0 AND NOT coalesce(g.completed, 0) < g.required AND (s.candidates IS NULL OR s.candidates <> 'v9')"""))
+def verify_beliefs(spark, sf_dir):
+    """OP-V5: stored beliefs, those of keys with a number of reports divisible by three altered, against beliefs computed again."""
+    fresh = cut(K.status_at(K.interpretations(evidence(spark, sf_dir)), DAY))
+    stored = fresh.withColumn("candidates", F.when(F.col("n") % 3 == 0, "v9").otherwise(F.col("candidates")))
+    stale = T.generations(report_log(spark, sf_dir)).where("coalesce(completed, 0) < required")
+    return I.verify_beliefs(stored, fresh, stale)
 
 
 @query("op_r7_attribution_segments", oracle("ev direct", """

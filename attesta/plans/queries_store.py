@@ -12,6 +12,7 @@ from attesta.operators import integrity as I
 from attesta.operators import kernel as K
 from attesta.operators import rules as R
 from attesta.operators import store as T
+from attesta.operators.tables import cut
 from attesta.plans.ctes import cte, oracle
 from attesta.plans.queries_core import DAY, evidence
 from attesta.plans.registry import query
@@ -44,9 +45,13 @@ def point_lookup(spark, sf_dir):
     return report_log(spark, sf_dir).where(F.col("rid").isin("r0000000007", "r0000000300")).select("rid", "entity", "attr", "cue")
 
 
-@query("op_s6_key_scan", oracle("log", "SELECT rid, cue, value FROM log WHERE entity = 'u1-2' AND attr = 'employer' AND lsn <= 900"))
+@query("op_s6_key_scan", oracle("log", "SELECT rid, cue, value FROM log WHERE entity = (SELECT max(entity) FROM log WHERE attr = 'employer') AND attr = 'employer' AND lsn <= (SELECT max(lsn) FROM log) - 100"))
 def key_scan(spark, sf_dir):
-    return report_log(spark, sf_dir, 900).where("entity = 'u1-2' and attr = 'employer'").select("rid", "cue", "value")
+    """OP-S6: the reports of one key (of the last entity by name) up to a position near the end."""
+    log = report_log(spark, sf_dir).where("attr = 'employer'")
+    asked = log.agg(F.max("entity").alias("entity"))
+    end = table(spark, sf_dir, "events").agg((F.max("event_id") + 1 - 100).alias("end"))
+    return log.join(F.broadcast(asked), "entity", "left_semi").crossJoin(F.broadcast(end)).where("lsn <= end").select("rid", "cue", "value")  # one row each
 
 
 @query("op_s7_lsn_at", oracle("log", "SELECT CAST(d AS VARCHAR) AS day, (SELECT max(lsn) FROM log WHERE recorded_at <= d) AS lsn FROM (SELECT unnest([DATE '2024-01-05', DATE '2024-01-15', DATE '2024-01-25'])::TIMESTAMP AS d)").replace("CAST(d AS VARCHAR)", "strftime(d, '%Y-%m-%d')"))
@@ -208,9 +213,9 @@ def osa(spark, sf_dir):
 
 
 @query("op_t18_span_support", """
-SELECT conv_id, turn, contains(lower(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), lower(regexp_replace(substr(text, 5, 12), '[ \\t\\n\\r]+', ' ', 'g'))) AS supported FROM conversations WHERE text IS NOT NULL AND text = regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')""")
+SELECT conv_id, turn, contains(lower(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), lower(regexp_replace(substr(text, 5, 12), '[ \\t\\n\\r]+', ' ', 'g'))) AS supported FROM conversations WHERE text IS NOT NULL""")
 def span_support(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull() & ~F.col("text").rlike("[^\\x00-\\x7F]"))
+    c = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull())
     return c.select("conv_id", "turn", S.span_supported(F.col("text"), F.substring("text", 5, 12)).alias("supported"))
 
 
@@ -268,10 +273,13 @@ def closure(spark, sf_dir):
     return R.closure(R.rule_edges(spark)).where("base").select("head", "body")
 
 
-@query("op_d9_overlaps", f"WITH {_EDGES}, d AS (SELECT a.head, a.body AS x, b.body AS y FROM e a JOIN e b ON a.head = b.head AND a.body < b.body) SELECT head, x, y FROM d WHERE false")
+@query("op_d9_overlaps", f"""WITH RECURSIVE {_EDGES}, f AS (SELECT * FROM e UNION ALL VALUES ('bonus', 'tax_zone'), ('bonus', 'office'), ('bonus', 'tags')),
+c AS (SELECT head, body FROM f UNION SELECT c.head, f.body FROM c JOIN f ON f.head = c.body), r AS (SELECT head AS x, body AS b FROM c WHERE body NOT IN (SELECT head FROM f) UNION SELECT body, body FROM f WHERE body NOT IN (SELECT head FROM f))
+SELECT DISTINCT a.head, a.body AS x, b.body AS y FROM f a JOIN f b ON a.head = b.head AND a.body < b.body JOIN r p ON p.x = a.body JOIN r q ON q.x = b.body AND q.b = p.b""")
 def overlaps(spark, sf_dir):
-    """OP-D9: pairs of literals of one rule whose closures meet (there are none in this schema)."""
-    return R.overlaps(R.rule_edges(spark))
+    """OP-D9: pairs of literals of one rule whose closures meet: none in the schema, some in one with a rule more."""
+    more = spark.createDataFrame([("bonus", "tax_zone"), ("bonus", "office"), ("bonus", "tags")], "head string, body string")
+    return R.overlaps(R.rule_edges(spark).unionByName(more))
 
 
 @query("op_d11_depth", f"WITH RECURSIVE {_EDGES}, c(head, body, depth) AS (SELECT head, body, 1 FROM e UNION ALL SELECT c.head, e.body, depth + 1 FROM c JOIN e ON e.head = c.body) SELECT head, max(depth)::INT AS depth FROM c GROUP BY 1")
@@ -313,9 +321,6 @@ def revision_budget(spark, sf_dir):
     return report_log(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("n <= 3").select("entity", "attr", "lsn")
 
 
-cte("gen", "log", "SELECT entity, attr, max(lsn) AS required, max(lsn) FILTER (WHERE k % 4 <> 0) AS completed, bool_or(k = 50) AS dirty, bool_or(k = 51) AS erased, arg_max(k % 9 = 0, lsn) AS incomplete FROM log GROUP BY 1, 2")
-
-
 @query("op_r10_barrier_read", oracle("gen", """
 SELECT entity, attr, CASE WHEN dirty THEN 'store_dirty' WHEN completed IS NULL THEN 'stale_dependency' WHEN erased THEN 'not_reconstructable' WHEN incomplete THEN 'inference_incomplete' WHEN required > completed THEN 'stale_dependency' ELSE 'belief' END AS outcome FROM gen"""))
 def barrier_read(spark, sf_dir):
@@ -328,7 +333,7 @@ SELECT root, count(*) AS chain FROM (WITH RECURSIVE r AS (SELECT lsn AS root, ta
 def stale_walk(spark, sf_dir):
     """OP-R11: how many reports each report depends on through its chain of targets."""
     edges = report_log(spark, sf_dir).where("target > 0").select(F.col("lsn").alias("src"), F.col("target").alias("dst"))
-    return R.walk(edges).groupBy(F.col("root")).agg(F.count(F.lit(1)).alias("chain"))
+    return R.chain_lengths(edges)
 
 
 @query("op_r12_completion_jobs", oracle("gen", "SELECT entity, attr, required AS generation FROM gen WHERE coalesce(completed, 0) < required"))
@@ -364,20 +369,29 @@ def commitment(spark, sf_dir):
     return report_log(spark, sf_dir).select("rid", I.commitment().alias("commitment"))
 
 
-@query("op_v2_verify_log", "SELECT 'entry_hash' AS problem, 1::BIGINT AS n UNION ALL SELECT 'link', 1")
+_TAMPER = """
+, t AS (SELECT lsn, block, commitment, prev_hash, CASE WHEN lsn % 2000 = 200 THEN sha256('x') ELSE entry_hash END AS entry_hash FROM chained WHERE lsn % 3000 <> 7)
+SELECT 'entry_hash' AS problem, lsn FROM t c WHERE entry_hash <> sha256('log.v1' || chr(10) || prev_hash || chr(10) || lsn || chr(10) || commitment)
+UNION ALL SELECT 'link', c.lsn FROM t c JOIN t p ON c.lsn = p.lsn + 1 AND c.block = p.block AND c.prev_hash <> p.entry_hash
+UNION ALL SELECT 'gap', lsn FROM t c WHERE lsn > 1 AND NOT EXISTS (SELECT 1 FROM t p WHERE p.lsn = c.lsn - 1)"""
+
+
+@query("op_v2_verify_log", oracle("chained", _TAMPER).replace("\n\n, t AS", ",\nt AS"))
 def verify_log(spark, sf_dir):
-    """OP-V2: a chain with the content of position 200 altered: its entry does not fit, nor does the next one's link."""
-    chain = I.chain(report_log(spark, sf_dir, 1000))
-    bad = chain.withColumn("entry_hash", F.when(F.col("lsn") == 200, F.sha2(F.lit("x"), 256)).otherwise(F.col("entry_hash")))
-    return I.verify(bad).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    """OP-V2: a chain with some hashes altered and some entries gone: the entry does not fit, nor the next one's link, or it leaves a gap."""
+    chain = I.chain(report_log(spark, sf_dir)).where("lsn % 3000 <> 7")
+    bad = chain.withColumn("entry_hash", F.when(F.col("lsn") % 2000 == 200, F.sha2(F.lit("x"), 256)).otherwise(F.col("entry_hash")))
+    return I.verify(cut(bad)).select("problem", "lsn")
 
 
-@query("op_v4_anchor", "SELECT true AS on_chain")
+@query("op_v4_anchor", oracle("chained", """
+SELECT name, CASE WHEN a.lsn > (SELECT max(lsn) FROM log) THEN 'anchor_ahead_of_head' WHEN c.entry_hash = a.h THEN 'on_chain' ELSE 'anchor_mismatch' END AS outcome
+FROM (SELECT 'exported' AS name, lsn, entry_hash AS h FROM chained WHERE lsn = 300 UNION ALL SELECT 'forged', 301, sha256('forged') UNION ALL SELECT 'ahead', 1000000000, sha256('forged')) a LEFT JOIN chained c ON c.lsn = a.lsn"""))
 def anchor(spark, sf_dir):
-    """OP-V4: an exported head is still on the chain."""
-    chain = I.chain(report_log(spark, sf_dir, 500))
-    head = chain.where("lsn = 300").select("lsn", F.col("entry_hash").alias("anchor"))
-    return chain.join(head, "lsn").agg(F.bool_and(F.col("entry_hash") == F.col("anchor")).alias("on_chain"))
+    """OP-V4: a head exported when the log had 300 entries, a forged one and one ahead of the log, against the chain of today."""
+    made = I.chain(report_log(spark, sf_dir, 300)).where("lsn = 300").select(F.lit("exported").alias("name"), "lsn", "entry_hash")
+    fake = spark.range(1).select(F.explode(F.expr("array(named_struct('name', 'forged', 'lsn', 301L), named_struct('name', 'ahead', 'lsn', 1000000000L))")).alias("x")).select("x.name", "x.lsn", F.sha2(F.lit("forged"), 256).alias("entry_hash"))
+    return I.check_anchors(made.unionByName(fake), cut(I.chain(report_log(spark, sf_dir))))
 
 
 @query("op_e5_blocking", """

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import admission as A
 from attesta.operators import kernel as K
+from attesta.operators.store import id_set
 from attesta.operators.tables import shared_dir
 from attesta.sources.report_log import report_log, table
 
@@ -22,7 +23,7 @@ VERSION = "entity string, attr string, ids string, n int, status string, candida
 
 
 def _keyed(direct: DataFrame) -> DataFrame:
-    return direct.groupBy("entity", "attr").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("rid")), ","), 256).alias("ids"))
+    return direct.groupBy("entity", "attr").agg(id_set().cast("string").alias("ids"))
 
 
 def current(versions: DataFrame) -> DataFrame:

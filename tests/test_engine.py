@@ -111,8 +111,15 @@ def test_supports_are_minimal(spark):
 
 
 def test_live_actors_restore(spark):
-    claim = spark.createDataFrame([(2, 1, "withdraw", True), (3, 2, "withdraw", True), (4, 3, "withdraw", True), (9, 8, "withdraw", True)], "by long, claimed long, kind string, explicit boolean")
-    assert sorted(r.lsn for r in A.acting(claim).collect()) == [2, 4, 9]
+    base = spark.createDataFrame([(2, "s", 1), (3, "s", 2), (4, "s", 3), (9, "s", 8)], "lsn long, source_id string, withdraws long")
+    claim = base.select(F.col("lsn").alias("by"), F.col("withdraws").alias("claimed"))
+    wide = spark.createDataFrame([], "by long, source_id string")
+    assert sorted(r.lsn for r in A.acting(base, claim, wide).collect()) == [2, 4, 9]
+    # a source-wide withdrawal at 9 takes the earlier actors of the source, one at 10 by another takes that
+    assert sorted(r.lsn for r in A.acting(base, claim, spark.createDataFrame([(9, "s")], wide.schema)).collect()) == [9]
+    more = base.unionByName(spark.createDataFrame([(10, "t", 9)], base.schema))
+    claim = more.select(F.col("lsn").alias("by"), F.col("withdraws").alias("claimed"))
+    assert sorted(r.lsn for r in A.acting(more, claim, spark.createDataFrame([(9, "s")], wide.schema)).collect()) == [2, 4, 10]
 
 
 def test_polarity(spark):
@@ -153,7 +160,21 @@ def test_closures(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6)], "src long, dst long")
     assert sorted(r.node for r in R.reach(edges, spark.createDataFrame([(1,)], "node long")).collect()) == [1, 2, 3]
     path = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1)], "src long, dst long")
-    assert sorted((r.root, r.node) for r in R.walk(path).collect()) == sorted((a, b) for a in range(2, 6) for b in range(1, a))
+    assert sorted((r.root, r.chain) for r in R.chain_lengths(path).collect()) == [(a, a - 1) for a in range(2, 6)]
+    long_ = spark.range(1, 1000).select(F.col("id").alias("src"), F.when(F.col("id") % 100 == 0, -1).otherwise(F.col("id") - 1).alias("dst"))
+    assert {r.root: r.chain for r in R.chain_lengths(long_).collect()} == {i: 1 if i % 100 == 0 else i % 100 + (i > 100) for i in range(1, 1000)}
+
+
+def test_one_key_of_very_many_reports(spark):
+    """A key over the budget is counted, never collected; the others are as without it."""
+    small = spark.createDataFrame(key(dict(value="a", anchor=1, grp="g1"), dict(value="b", anchor=2, grp="g2")), SCHEMA)
+    many = spark.range(100_000).select(F.lit("hot").alias("entity"), F.lit("employer").alias("attr"), (F.col("id") + 10).alias("lsn"))
+    rest = {c: F.lit(None).cast(t) for c, t in small.dtypes if c not in many.columns}
+    both = small.unionByName(many.withColumns(rest).withColumns({"anchor": F.lit(1).cast(dict(small.dtypes)["anchor"]), "value": F.lit("a"), "op": F.lit("none")}))
+    got = {r.entity: r for r in K.status_at(K.interpretations(both), 5).collect()}
+    assert (got["hot"].n, got["hot"].status) == (100_000, "resource_limited")
+    assert {e: r for e, r in got.items() if e != "hot"} == {r.entity: r for r in K.status_at(K.interpretations(small), 5).collect()}
+    assert {r.n: r.reps is None for r in K.keys(both).collect()} == {100_000: True, 2: False}
 
 
 def test_running_max_over_chunks(spark):
