@@ -145,12 +145,16 @@ def acting(base: DataFrame, claim: DataFrame, wide: DataFrame) -> DataFrame:
     """lsn of the actors that act: those no later acting actor claims, by name or with their source. Starting from all actors, the
     set without a claimant in the set is taken again and again; it is final once it does not change, after as many rounds as the longest
     chain of claims. Claims on reports that do not act are left out first, so the rounds work on a small part of the log."""
-    actors = cut(base.where(F.col("withdraws").isNotNull()).select("lsn", "source_id"))
+    actors = base.where(F.col("withdraws").isNotNull()).select("lsn", "source_id")
     on = cut(claim.where(F.col("by") > F.col("claimed")).join(actors.select(F.col("lsn").alias("claimed")), "claimed", "left_semi").select("by", "claimed").distinct())
 
+    some_wide = wide.limit(1).count() > 0
+
     def step(now: DataFrame) -> DataFrame:
         here = now.select(F.col("lsn").alias("by"))
         hit = on.join(here, "by", "left_semi").select(F.col("claimed").alias("lsn"))
+        if not some_wide:
+            return actors.join(hit, "lsn", "left_anti")
         last = wide.join(here, "by", "left_semi").groupBy("source_id").agg(F.max("by").alias("last"))
         left = actors.join(last, "source_id", "left").where(F.col("last").isNull() | (F.col("lsn") >= F.col("last")))
         return left.select("lsn", "source_id").join(hit, "lsn", "left_anti")
@@ -168,24 +172,25 @@ def acting(base: DataFrame, claim: DataFrame, wide: DataFrame) -> DataFrame:
         before = state
 
 
-def withdrawn(base: DataFrame, must_be_live: bool = True) -> DataFrame:
+def withdrawn(base: DataFrame, must_be_live: bool = True, log: DataFrame | None = None) -> DataFrame:
     """lsn, by, kind of every withdrawn report. The latest acting claimant counts (the earliest, if actors need not live), its
-    explicit claim before its source-wide one."""
-    claim, wide = claims(base), wide_claims(base)
+    explicit claim before its source-wide one. ``log``: where lsn and source_id of all reports are read, if that is cheaper than ``base``."""
+    # narrow, a part of the log, and read in every round
+    acts = cut(base.where(F.col("withdraws").isNotNull()).select("lsn", "source_id", "cue", "withdraws", "wsource"))
+    claim, wide = claims(acts), wide_claims(acts)
     if must_be_live:
-        claim, wide = cut(claim), cut(wide)  # narrow, and read in every round
-        live = acting(base, claim, wide).select(F.col("lsn").alias("by"))
+        live = acting(acts, claim, wide).select(F.col("lsn").alias("by"))
         claim, wide = claim.join(live, "by", "left_semi"), wide.join(live, "by", "left_semi")
         best, pick = F.max, F.greatest
     else:
         best, pick = F.min, F.least
     rank = F.lit(1 if must_be_live else 0)  # an explicit claim goes first among those of one actor
     named = claim.groupBy(F.col("claimed").alias("lsn")).agg(best(F.struct("by", rank.alias("rank"), "kind")).alias("w"))
-    if not wide.limit(1).count():
+    if not acts.where("wsource is not null").limit(1).count():
         return named.select("lsn", F.col("w.by").alias("by"), F.col("w.kind").alias("kind"))
     # one row a source, of the few that have been withdrawn
     last = wide.groupBy("source_id").agg(best(F.struct("by", (1 - rank).alias("rank"), F.lit("source_withdraw").alias("kind"))).alias("s"))
-    met = base.select("lsn", "source_id").join(last, "source_id", "left").join(named, "lsn", "left").withColumn("w", pick("w", "s"))
+    met = (base if log is None else log).select("lsn", "source_id").join(last, "source_id", "left").join(named, "lsn", "left").withColumn("w", pick("w", "s"))
     return met.where("w is not null").select("lsn", F.col("w.by").alias("by"), F.col("w.kind").alias("kind"))
 
 
@@ -204,7 +209,7 @@ def evaluate(log: DataFrame, rules=RULES, must_be_live: bool = True) -> DataFram
     withdrawal. A quarantined report is confirmed by one of another origin group that says the same of the key; the first
     reports of two groups are all that need be known of those that could."""
     base = own_merit(log, rules)
-    gone = withdrawn(base, must_be_live)
+    gone = withdrawn(base, must_be_live, log)
     all_ = base.join(gone, "lsn", "left").withColumn("sig", signature(F.col("form"), F.col("value"), F.col("holder")))
     said = ["entity", "attr", "sig"]
     first = _confirming(all_).groupBy(*said, F.col("grp").alias("c_grp")).agg(F.min("rid").alias("c_rid"))
@@ -228,6 +233,38 @@ def confirmations(ev: DataFrame) -> DataFrame:
     return wait.select("rid", "reason", *said, "grp").join(ids, [*said, "grp"]).select("rid", "reason", "confirmed_by")
 
 
+def may_be_wide(rows: DataFrame, rules=RULES) -> DataFrame:
+    """The reports that could withdraw a whole source, by what each says alone."""
+    own = [r for r in rules if r.targets == "source" and "withdraw" in r.may]
+    if not own:
+        return rows.limit(0)
+    actors = [r.value for r in own if r.who == "principal"]
+    fits = F.lit(True) if len(actors) < len(own) else F.col("actor").isin(*actors)
+    return rows.where((F.col("cue") == "withdraw") & fits)
+
+
+def affected(rows: DataFrame, new: DataFrame, rules=RULES) -> DataFrame:
+    """entity, attr, own: the keys whose decisions the reports ``new`` of the log ``rows`` can change (own), and those that have to be read to
+    decide them. Reports act on their own key alone, but for source-wide withdrawals: their keys are always read, and where one of
+    them is among the keys of ``new``, all keys with a report of a source that may be withdrawn change."""
+    key = ["entity", "attr"]
+    touched = cut(new.select(*key).distinct())
+    wide = cut(may_be_wide(rows, rules).select(*key).distinct())
+    if touched.join(wide, key, "left_semi").limit(1).count():
+        # the sources of the keys in which such reports stand hold those of their targets
+        sources = rows.join(wide, key, "left_semi").select("source_id").distinct()
+        touched = cut(touched.unionByName(rows.join(sources, "source_id", "left_semi").select(*key)).distinct())
+    return touched.withColumn("own", F.lit(True)).unionByName(wide.join(touched, key, "left_anti").withColumn("own", F.lit(False)))
+
+
+def update(before: DataFrame, log: DataFrame, since: int, rules=RULES) -> DataFrame:
+    """``evaluate(log)`` out of ``before``, the decisions on its prefix up to ``since``: only affected keys are decided again."""
+    key = ["entity", "attr"]
+    keys = cut(affected(log, log.where(F.col("lsn") > since), rules))
+    again = evaluate(log.join(keys.select(*key), key, "left_semi"), rules).join(keys.where("own").select(*key), key, "left_semi")
+    return before.join(keys.where("own").select(*key), key, "left_anti").unionByName(again)
+
+
 def direct(ev: DataFrame) -> DataFrame:
     """The evidence the kernel reads: entity, attr, lsn, rid, anchor, value, op (none, change, correction), frm, of, grp, source_class."""
     d = ev.where(

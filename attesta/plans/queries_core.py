@@ -173,19 +173,27 @@ def admission_delta(spark, sf_dir):
     return ev.where("confirmer > rid").select("rid", F.lit("quarantined").alias("before_outcome"), F.col("outcome").alias("after_outcome"), F.col("confirmer").alias("first_confirmer"))
 
 
-@query("op_a20_crosscheck", "SELECT 0::BIGINT AS missing, 0::BIGINT AS extra")
+@query("op_a20_crosscheck", oracle("ev", """
+SELECT outcome, reason, count(*) AS whole, count(*) AS updated, count(*) AS equal, count(by_lsn) AS withdrawn FROM ev GROUP BY 1, 2"""))
 def crosscheck(spark, sf_dir):
-    """OP-A20: the whole log's own-merit decisions against those of two prefixes put together."""
-    whole = A.own_merit(report_log(spark, sf_dir)).select("rid", "outcome", "reason", "effective_cue")
-    half = A.own_merit(report_log(spark, sf_dir)).where("lsn > 500").select("rid", "outcome", "reason", "effective_cue")
-    parts = A.own_merit(report_log(spark, sf_dir, 500)).select("rid", "outcome", "reason", "effective_cue").unionByName(half)
-    a, b = whole.exceptAll(parts).agg(F.count(F.lit(1)).alias("missing")), parts.exceptAll(whole).agg(F.count(F.lit(1)).alias("extra"))
-    return a.crossJoin(F.broadcast(b))  # one row each
-
-
-@query("op_a21_cross_key_corrections", oracle("pair", "SELECT rid FROM pair WHERE cue = 'correct' AND t_lsn IS NOT NULL AND (t_entity <> entity OR t_attr <> attr)"))
+    """OP-A20: decisions on the whole log against those on its first nine tenths, brought up to date with the rest."""
+    log = cut(report_log(spark, sf_dir))
+    last = log.agg(F.max("lsn")).first()[0] or 0
+    since = last - last // 10
+    record = ["rid", "outcome", "reason", "effective_cue", "by", "kind", "confirmer"]
+    whole = A.evaluate(log).select(*record, F.lit("whole").alias("way"))
+    updated = A.update(cut(A.evaluate(log.where(F.col("lsn") <= since))), log, since).select(*record, F.lit("updated").alias("way"))
+    both = whole.unionByName(updated).groupBy(*record).agg(F.count_if(F.col("way") == "whole").alias("w"), F.count_if(F.col("way") == "updated").alias("u"))
+    return both.groupBy("outcome", "reason").agg(F.sum("w").alias("whole"), F.sum("u").alias("updated"), F.sum(F.least("w", "u")).alias("equal"), F.sum(F.when(F.col("by").isNotNull(), F.col("w")).otherwise(0)).alias("withdrawn"))
+
+
+@query("op_a21_cross_key_corrections", oracle("log", """
+, b AS (SELECT rid, cue, lsn, entity, attr, CASE WHEN k % 4 = 2 THEN lsn - 3 ELSE target END AS target FROM log)
+SELECT b.rid FROM b JOIN log t ON t.lsn = b.target AND t.lsn < b.lsn WHERE b.cue = 'correct' AND (t.entity <> b.entity OR t.attr <> b.attr)""").replace("\n\n, b AS", ",\nb AS"))
 def cross_key(spark, sf_dir):
-    d = A.with_target(report_log(spark, sf_dir))
+    """OP-A21 over a log in which some reports are about the third before them, of whatever key."""
+    log = report_log(spark, sf_dir)
+    d = A.with_target(log.withColumn("target", F.when(F.col("k") % 4 == 2, F.col("lsn") - 3).otherwise(F.col("target"))))
     return d.where("cue = 'correct' and t_lsn is not null and (t_entity <> entity or t_attr <> attr)").select("rid")
 
 

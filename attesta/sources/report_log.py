@@ -33,11 +33,17 @@ def rid_of(lsn) -> F.Column:
     return F.concat(F.lit("r"), F.lpad(lsn.cast("string"), 10, "0"))
 
 
-def report_log(spark: SparkSession, sf_dir: str, upto: int | None = None) -> DataFrame:
-    """The log, or its prefix up to position ``upto`` (the predicate reaches the scan)."""
+def report_log(spark: SparkSession, sf_dir: str, upto: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """The log, or its prefix up to position ``upto`` (the predicate reaches the scan), of all keys or those of ``keys`` (entity, attr)."""
     e = table(spark, sf_dir, "events")
     if upto is not None:
         e = e.where(F.col("event_id") < upto)
+    rows = reports(e)
+    return with_targets(rows if keys is None else rows.join(keys, ["entity", "attr"], "left_semi"))
+
+
+def reports(e: DataFrame) -> DataFrame:
+    """The reports of events, all that is known from each alone."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     e = e.select((F.col("event_id") + 1).alias("lsn"), F.col("ts").alias("recorded_at"), "user_id", "event_type", F.floor("value").cast("int").alias("x"), k.alias("k"))
     k = F.col("k")
@@ -70,6 +76,12 @@ def report_log(spark: SparkSession, sf_dir: str, upto: int | None = None) -> Dat
         "change_from": F.when((F.col("cue") == "change") & (k % 2 == 0), F.concat(F.lit("v"), ((F.col("x") + 1) % 3).cast("string"))),
         "anchor": day_of(F.coalesce("valid_from", "recorded_at")),
     })
+    return log
+
+
+def with_targets(log: DataFrame) -> DataFrame:
+    """The log with the position each report is about: an earlier one of its key, by the same source or any; needs all reports of a key."""
+    k = F.col("k")
     same_key = F.lag("lsn").over(Window.partitionBy("entity", "attr").orderBy("lsn"))
     same_source = F.lag("lsn").over(Window.partitionBy("entity", "attr", "source_id").orderBy("lsn"))
     target = F.when(~F.col("cue").isin("assert", "change"), F.coalesce(F.when(k % 3 < 2, same_source), same_key, F.lit(-1).cast("long")))

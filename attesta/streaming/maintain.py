@@ -1,8 +1,9 @@
 """Incremental maintenance: a stream of report events kept as versioned beliefs.
 
-Each micro-batch is appended to the stored events; admission is evaluated over the log (joins only); the keys whose direct evidence
-differs from that of their current version, and only those, go through the kernel and get a new version. The batch number is the
-generation. A batch that is replayed after a failure rewrites its own files, so effects are exactly once. No watermark is
+Each micro-batch is appended to the stored events, which are laid out in ``BUCKETS`` folders by a hash of the key. Only the keys
+that the batch can change are read, decided again and, if their direct evidence differs from that of their current version, sent through the
+kernel for a new one. The batch number is the generation, and every version stays readable, so beliefs can be read as of any
+of them. A batch that is replayed after a failure rewrites its own files, so effects are exactly once. No watermark is
 needed: the log position orders reports, and a late report is one about an earlier day.
 """
 
@@ -12,13 +13,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.operators import admission as A
 from attesta.operators import kernel as K
 from attesta.operators.store import id_set
-from attesta.operators.tables import shared_dir
-from attesta.sources.report_log import report_log, table
+from attesta.operators.tables import cut, shared_dir
+from attesta.sources.report_log import reports, table, with_targets
 
+BUCKETS = 32
 VERSION = "entity string, attr string, ids string, n int, status string, candidates string, generation long"
 
 
@@ -36,37 +39,50 @@ def read_versions(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.schema(VERSION).option("recursiveFileLookup", "true").parquet(f"{store}/versions")
 
 
+def as_of(versions: DataFrame, generation: int) -> DataFrame:
+    """The version of each key in force after a batch."""
+    return current(versions.where(F.col("generation") <= generation))
+
+
 def apply_batch(batch: DataFrame, generation: int, store: str, day: int) -> None:
-    spark = batch.sparkSession
-    batch.write.mode("overwrite").parquet(f"{store}/log/events.parquet/batch={generation}")
-    direct = A.direct(A.evaluate(report_log(spark, f"{store}/log")))
-    old = f"{store}/versions"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(old).getFileSystem(spark._jsc.hadoopConfiguration())
-    now = _keyed(direct)
-    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(old)):
-        seen = current(read_versions(spark, store).where(F.col("generation") < generation))
-        met = now.join(seen.select("entity", "attr", F.col("ids").alias("old"), F.col("n").alias("n_old")), ["entity", "attr"], "full")
+    spark, key = batch.sparkSession, ["entity", "attr"]
+    bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int").alias("bucket")
+    placed = reports(batch).select("lsn", bucket)
+    batch.join(placed, batch["event_id"] + 1 == placed["lsn"]).drop("lsn").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/log/batch={generation}")
+    schema = T.StructType([*batch.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.IntegerType())])
+    stored = spark.read.schema(schema).parquet(f"{store}/log").where(F.col("batch") <= generation)
+    keys = cut(A.affected(reports(stored), reports(batch)))
+    near = [r[0] for r in keys.select(bucket).distinct().collect()]  # at most BUCKETS numbers
+    rows = reports(stored.where(F.col("bucket").isin(near))).join(keys.select(*key), key, "left_semi")
+    own = keys.where("own").select(*key)
+    direct = cut(A.direct(A.evaluate(with_targets(rows))).join(own, key, "left_semi"))
+    now = own.join(_keyed(direct), key, "left")
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/versions")
+    if old.getFileSystem(spark._jsc.hadoopConfiguration()).exists(old):
+        seen = current(read_versions(spark, store).where(F.col("generation") < generation).join(own, key, "left_semi"))
+        met = now.join(seen.select(*key, F.col("ids").alias("old"), F.col("n").alias("n_old")), key, "left")
         # a key whose evidence is gone gets a version too, unless its last one says so already
-        changed = met.where(~F.col("ids").eqNullSafe(F.col("old")) & ~(F.col("ids").isNull() & (F.col("n_old") == 0)))
+        changed = met.where(~F.col("ids").eqNullSafe(F.col("old")) & ~(F.col("ids").isNull() & F.coalesce(F.col("n_old") == 0, F.lit(True))))
     else:
-        changed = now
-    changed = changed.select("entity", "attr", "ids")
-    status = K.status_at(K.interpretations(direct.join(changed.select("entity", "attr"), ["entity", "attr"], "left_semi")), day)
-    out = changed.join(status, ["entity", "attr"], "left").na.fill({"n": 0, "status": "unknown"})
-    out.select("entity", "attr", "ids", "n", "status", "candidates", F.lit(generation).cast("long").alias("generation")).write.mode("overwrite").parquet(f"{store}/versions/generation-{generation}")
+        changed = now.where("ids is not null")
+    changed = cut(changed.select(*key, "ids"))
+    status = K.status_at(K.interpretations(direct.join(changed.select(*key), key, "left_semi")), day)
+    out = changed.join(status, key, "left").na.fill({"n": 0, "status": "unknown"})
+    out.select(*key, "ids", "n", "status", "candidates", F.lit(generation).cast("long").alias("generation")).write.mode("overwrite").parquet(f"{store}/versions/generation-{generation}")
 
 
-def maintain(spark: SparkSession, source_dir: str, store: str, day: int, glob: str = "*.parquet", files_per_batch: int = 1) -> DataFrame:
+def maintain(spark: SparkSession, source_dir: str, store: str, day: int, files_per_batch: int = 1) -> DataFrame:
     """Process all files now in ``source_dir`` (further calls take the new ones) and return the current versions."""
-    schema = table(spark, source_dir, "events").schema if glob == "events.parquet" else spark.read.parquet(source_dir).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
+    schema = spark.read.parquet(source_dir).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
     run = stream.writeStream.foreachBatch(lambda df, n: apply_batch(df, n, store, day)).option("checkpointLocation", f"{store}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
     return current(read_versions(spark, store))
 
 
-def incremental_status(spark: SparkSession, sf_dir: str, day: int) -> DataFrame:
-    """Status of every key on a day, out of the stream of the table ``events``."""
+def incremental_status(spark: SparkSession, sf_dir: str, day: int, batches: int = 3) -> DataFrame:
+    """Status of every key on a day, out of a stream of the table ``events`` in some files, the later events mostly in later ones."""
     store = f"{shared_dir(spark)}/maintain-{uuid.uuid4().hex}"
-    out = maintain(spark, sf_dir, store, day, glob="events.parquet")
+    table(spark, sf_dir, "events").repartitionByRange(batches, "event_id").write.parquet(f"{store}/source")
+    out = maintain(spark, f"{store}/source", store, day)
     return out.where("n > 0").select("entity", "attr", "n", "status", "candidates")
