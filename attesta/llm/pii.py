@@ -114,19 +114,28 @@ def disclosing(plain: DataFrame, found: DataFrame, spans: DataFrame, support: in
     held = cut(entity.join(often.select("entity", "n_entity"), "entity"))
     some = held.select("row_key").distinct()
     texts = found.join(some, "row_key", "left_semi")
-    term = cut(free(words_at(texts), spans.join(some, "row_key", "left_semi")).select("row_key", "term").distinct())
-    # In how many documents a term occurs: counts over the whole corpus, of the candidate terms alone.
+    # First all words of each text, once each and without places: what does not pass with those that touch a span does not without them.
+    term = cut(texts.select("row_key", F.explode(F.array_distinct(F.split(F.lower("text"), BLANK))).alias("term")).where("term <> ''"))
     candidates = term.groupBy("term").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).select("term")
+    # In how many documents a term occurs: counts over the whole corpus, of the candidate terms alone.
     seen = plain.select(F.explode(F.array_distinct(F.split(F.lower("text"), BLANK))).alias("term"))
-    seen = semi(seen, cut(candidates), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    seen = cut(semi(seen, cut(candidates), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
     n = F.lit(plain.count())
     # no pair beyond this passes, as both <= n_entity; so common words meet no entity
     most = F.col("n_entity") * F.pow(n / F.col("n_entity").cast("double"), F.lit(1 - strength)) * (1 + 1e-9)
-    pair = term.join(seen, "term").join(held, "row_key").where(F.col("n_term") <= most)
-    pair = pair.groupBy("entity", "term", "n_term", "n_entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both")).where(F.col("texts") >= support)
-    pmi = F.log(F.col("both") * n / (F.col("n_term") * F.col("n_entity")).cast("double"))
-    info = F.log(n / F.col("n_entity").cast("double"))
-    return pair.where((info > 0) & (pmi >= strength * info)).select("term").distinct()
+
+    def passing(term: DataFrame) -> DataFrame:
+        pair = term.join(seen, "term").join(held, "row_key").where(F.col("n_term") <= most)
+        pair = pair.groupBy("entity", "term", "n_term", "n_entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both")).where(F.col("texts") >= support)
+        pmi = F.log(F.col("both") * n / (F.col("n_term") * F.col("n_entity")).cast("double"))
+        info = F.log(n / F.col("n_entity").cast("double"))
+        return pair.where((info > 0) & (pmi >= strength * info)).select("term").distinct()
+
+    # Then only the texts with a term that may pass, word by word.
+    may = cut(passing(term))
+    near = cut(semi(term, may, "term").select("row_key").distinct())
+    words = semi(words_at(semi(texts, near, "row_key")), may, "term")
+    return passing(free(words, semi(spans, near, "row_key")).select("row_key", "term").distinct())
 
 
 def detect(docs: DataFrame, support: int = SUPPORT, strength: float = STRENGTH) -> tuple[DataFrame, DataFrame]:
