@@ -9,7 +9,7 @@ from attesta.operators import admission as A
 from attesta.operators import kernel as K
 from attesta.operators import policy as P
 from attesta.operators import tables
-from attesta.sources.report_log import report_log, reports, table, with_targets
+from attesta.sources.report_log import report_log, reports, table
 from attesta.streaming import maintain as M
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +38,28 @@ def test_targets_come_with_the_log(spark):
     joined = A.with_target(log).select(cols)
     assert len(cols) == 11 and joined.where("t_lsn is not null").count() > 50
     assert joined.exceptAll(log.select(cols)).count() == 0 and log.select(cols).exceptAll(joined).count() == 0
+
+
+def test_stream_broadcasts_nothing_that_grows(spark, tmp_path, monkeypatch):
+    """Over two batches, of the second of which every step meets stored versions."""
+    seen, cut = [], tables.cut
+
+    def spy(df):
+        seen.extend(broadcasts(df))
+        return cut(df)
+
+    for module in (M, A, K):
+        monkeypatch.setattr(module, "cut", spy)
+    events = table(spark, SF, "events")
+    for n in range(2):
+        M.apply_batch(events.where(f"event_id >= {n * 500} and event_id < {n * 500 + 500}"), n, str(tmp_path), -717)
+    assert seen == []
+
+
+def test_bucket_is_that_of_the_key(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    M.apply_batch(table(spark, SF, "events"), 0, str(tmp_path), -717)
+    stored = spark.read.parquet(str(tmp_path / "log"))
+    want = reports(stored).select("lsn", F.pmod(F.xxhash64("entity", "attr"), F.lit(M.BUCKETS)).alias("want"))
+    assert stored.join(want, stored["event_id"] + 1 == want["lsn"]).where("bucket <> want").count() == 0 and stored.count() == table(spark, SF, "events").count()
