@@ -63,3 +63,19 @@ def test_bucket_is_that_of_the_key(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "log"))
     want = reports(stored).select("lsn", F.pmod(F.xxhash64("entity", "attr"), F.lit(M.BUCKETS)).alias("want"))
     assert stored.join(want, stored["event_id"] + 1 == want["lsn"]).where("bucket <> want").count() == 0 and stored.count() == table(spark, SF, "events").count()
+
+
+@pytest.mark.parametrize("name", ["op_k15_last_segment", "op_k7_runs", "op_k17_changed"])
+def test_kernel_keeps_its_partitions(spark, name):
+    """Also where shuffles have as many partitions as the kernel asks for: then asking was in vain, and the rows came together by their bytes."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert plans.QUERIES[name](spark, SF).rdd.getNumPartitions() == 17
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_keys_broadcast_no_reports(spark):
+    direct = A.direct(A.evaluate(report_log(spark, SF)))
+    assert broadcasts(K.keys(direct)) == []
