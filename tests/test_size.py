@@ -79,3 +79,8 @@ def test_kernel_keeps_its_partitions(spark, name):
 def test_keys_broadcast_no_reports(spark):
     direct = A.direct(A.evaluate(report_log(spark, SF)))
     assert broadcasts(K.keys(direct)) == []
+
+
+def test_denials_decide_once(spark):
+    got = A.denials(A.evaluate(report_log(spark, SF)))
+    assert broadcasts(got) == [] and "regexp" not in plan(got).lower() and "Window" not in plan(got)
