@@ -84,3 +84,16 @@ def test_keys_broadcast_no_reports(spark):
 def test_denials_decide_once(spark):
     got = A.denials(A.evaluate(report_log(spark, SF)))
     assert broadcasts(got) == [] and "regexp" not in plan(got).lower() and "Window" not in plan(got)
+
+
+def test_scores_read_their_rows_once(spark):
+    rows = [("e", "a", "x", "r1", 1, "g1", "trusted"), ("e", "a", "x", "r2", 4, "g1", "low"), ("e", "a", "x", "r3", 2, None, "other"), ("e", "a", "(empty)", None, None, None, None)]
+    s = P.scores(spark.createDataFrame(rows, "entity string, attr string, cand string, rid string, lsn long, grp string, source_class string"))
+    assert plan(s).split("Initial Plan")[0].count("ExistingRDD") == 1
+    assert {r.cand: (r.score, r.newest, r.groups) for r in s.collect()} == {"x": (round(1 / (1 + 2.718281828459045**-3.2), 9), 4, 1), "(empty)": (round(1 / (1 + 2.718281828459045**2.7), 9), -1, 0)}
+
+
+@pytest.mark.parametrize("name", ["op_y4_select", "op_y7_single_origin"])
+def test_supports_are_made_once(spark, name):
+    got = plan(plans.QUERIES[name](spark, SF))
+    assert broadcasts(plans.QUERIES[name](spark, SF)) == [] and got.count("Generate explode") <= 3
