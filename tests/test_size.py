@@ -97,3 +97,8 @@ def test_scores_read_their_rows_once(spark):
 def test_supports_are_made_once(spark, name):
     got = plan(plans.QUERIES[name](spark, SF))
     assert broadcasts(plans.QUERIES[name](spark, SF)) == [] and got.count("Generate explode") <= 3
+
+
+def test_answer_runs_the_kernel_once(spark):
+    """A predicate on the status would be pushed below the kernel with all that the status is made of."""
+    assert not [x for x in plan(plans.QUERIES["op_c1_answer_v1"](spark, SF)).splitlines() if "Filter" in x and "forall" in x]
