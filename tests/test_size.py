@@ -102,3 +102,7 @@ def test_supports_are_made_once(spark, name):
 def test_answer_runs_the_kernel_once(spark):
     """A predicate on the status would be pushed below the kernel with all that the status is made of."""
     assert not [x for x in plan(plans.QUERIES["op_c1_answer_v1"](spark, SF)).splitlines() if "Filter" in x and "forall" in x]
+
+
+def test_virtual_view_broadcasts_no_answers(spark):
+    assert broadcasts(plans.QUERIES["op_q3_virtual_view"](spark, SF)) == []
