@@ -106,3 +106,8 @@ def test_answer_runs_the_kernel_once(spark):
 
 def test_virtual_view_broadcasts_no_answers(spark):
     assert broadcasts(plans.QUERIES["op_q3_virtual_view"](spark, SF)) == []
+
+
+def test_derived_environments_broadcast_head_offices_alone(spark):
+    lines = broadcasts(plans.QUERIES["op_p5_derived_environments"](spark, SF))
+    assert len(lines) == 1 and "Join [v#" in lines[0]
